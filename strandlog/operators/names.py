@@ -1,0 +1,162 @@
+"""Variant spellings of names typed by people: link the spellings of one person, group or unit.
+
+1. Each name is read into a core (surname, place), a gate that all spellings of the entity share
+   (initial; codes of unit and kind of body) and what only narrows it (given and middle names). Of
+   "A, B" the reading counts whose given name more names of the corpus begin with.
+2. Equal readings are one form. Forms are blocked by MinHash banding over the padded q-grams of the
+   core, within a gate; the number of bands follows from the collision curve at the likeness that one
+   typo leaves.
+3. Candidate forms are verified: at most one edit between the cores, and Monge-Elkan likeness of the
+   words of both names.
+4. Star clustering: the form with most names is a centre and takes its verified neighbours; what is
+   left goes on, until nothing is.
+5. Where one cluster still holds several full given or middle names, these part it.
+
+Blocks hold distinct forms, never names, so a spelling that a third of all rows carry is one form.
+Nothing is collected and no block is cut; joins on band keys are ordinary shuffle joins that AQE may split.
+
+Defined results: null and blank names are linked to nothing; repeated rows of one text are spellings
+of the same entity; names without a core form a cluster only with equal readings.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from strandlog.functions import nameparse, similarity
+from strandlog.session import materialize
+
+#: banding: rows a band, and the recall asked of a name of that many letters with its worst typo
+ROWS, RECALL, CORE_LENGTH = 4, 0.995, 9
+#: least Monge-Elkan likeness of two names of one entity
+LEAST_LIKENESS = 0.85
+
+_READING = T.StructType([*(T.StructField(c, T.StringType()) for c in ("cls", "core", "gate", "given", "middle")), T.StructField("tokens", T.ArrayType(T.StringType()))])
+_PARSED = T.StructType([T.StructField("first", _READING), T.StructField("turned", _READING)])
+_FORM = ["kind", "cls", "core", "gate"]
+
+
+def _reading(r: dict | None) -> dict | None:
+    return None if r is None else {"cls": r["cls"], "core": r["core"], "gate": r["gate"], "given": r.get("given"), "middle": r.get("middle"), "tokens": r["tokens"]}
+
+
+@F.pandas_udf(_PARSED)
+def _parse(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    for kinds, names in batches:
+        first, turned = [], []
+        for kind, name in zip(kinds, names, strict=True):
+            one, other = None, None
+            if name is not None and kind is not None:
+                one, other = nameparse.parse_person(name) if kind == "author" else (nameparse.parse_organisation(name), None)
+            first.append(_reading(one))
+            turned.append(_reading(other))
+        yield pd.DataFrame({"first": pd.Series(first, dtype=object), "turned": pd.Series(turned, dtype=object)})
+
+
+def read_names(names: DataFrame) -> DataFrame:
+    """name_id, kind, cls, core, gate, given, middle, tokens: the reading of each name; unreadable names are left out."""
+    parsed = names.select("name_id", "kind", "name", _parse("kind", "name").alias("p"))
+    plain = F.col("p.turned").isNull() & F.col("p.first.given").isNotNull() & ~F.contains(F.col("name"), F.lit(","))
+    begins = parsed.filter(plain).groupBy(F.col("p.first.given").alias("given")).agg(F.count(F.lit(1)).alias("n"))
+    with_counts = (
+        parsed.withColumn("g1", F.col("p.first.given")).withColumn("g2", F.col("p.turned.given"))
+        .join(begins.select(F.col("given").alias("g1"), F.col("n").alias("n1")), "g1", "left")
+        .join(begins.select(F.col("given").alias("g2"), F.col("n").alias("n2")), "g2", "left")
+    )
+    turn = F.col("p.turned").isNotNull() & (F.coalesce("n2", F.lit(0)) > F.coalesce("n1", F.lit(0)))
+    return with_counts.select("name_id", "kind", F.when(turn, F.col("p.turned")).otherwise(F.col("p.first")).alias("r")).filter("r is not null").select("name_id", "kind", "r.*")
+
+
+def band_keys(rows: int = ROWS, recall: float = RECALL, length: int = CORE_LENGTH):
+    """UDF (core, salt) -> array<bigint>: one key per band, as many bands as the collision curve asks for."""
+    bands = similarity.bands_for(recall, similarity.typo_jaccard(length), rows)
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def keys(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        hasher = similarity.MinHash(rows, bands)
+        for cores, salts in batches:
+            yield pd.Series([hasher.keys(c, s) for c, s in zip(cores, salts, strict=True)], dtype=object)
+
+    return keys
+
+
+@F.pandas_udf(T.DoubleType())
+def _likeness(core_a: pd.Series, core_b: pd.Series, tokens_a: pd.Series, tokens_b: pd.Series) -> pd.Series:
+    """Monge-Elkan over cores and words; 0 for cores more than one edit apart. Words count where both names have some."""
+    out = []
+    for a, b, ta, tb in zip(core_a, core_b, tokens_a, tokens_b, strict=True):
+        if not similarity.within_one_edit(a, b):
+            out.append(0.0)
+            continue
+        wa, wb = list(ta) if ta is not None else [], list(tb) if tb is not None else []
+        known = bool(wa) and bool(wb)
+        out.append(similarity.monge_elkan([a, *(wa if known else [])], [b, *(wb if known else [])]))
+    return pd.Series(out)
+
+
+def link_forms(forms: DataFrame) -> DataFrame:
+    """(a, b) form ids, a < b, of verified pairs. forms: id, kind, cls, core, gate, tokens."""
+    salt = F.concat_ws("\x01", "kind", "cls", "gate")
+    keyed = forms.filter("length(core) >= 4").select("id", "core", F.explode(band_keys()("core", salt)).alias("band"))
+    a, b = keyed.select("band", F.col("id").alias("a"), F.col("core").alias("core_a")), keyed.select("band", F.col("id").alias("b"), F.col("core").alias("core_b"))
+    near = (F.col("a") < F.col("b")) & (F.abs(F.length("core_a") - F.length("core_b")) <= 1) & (F.levenshtein("core_a", "core_b", 2) >= 0)
+    candidates = a.join(b, "band").filter(near).select("a", "b").distinct()
+    side = lambda s: forms.select(F.col("id").alias(s), F.col("core").alias(f"core_{s}"), F.col("tokens").alias(f"tokens_{s}"), F.struct("kind", "cls", "gate").alias(f"gate_{s}"))
+    full = candidates.join(side("a"), "a").join(side("b"), "b").filter("gate_a = gate_b")
+    return full.filter(_likeness("core_a", "core_b", "tokens_a", "tokens_b") >= LEAST_LIKENESS).select("a", "b")
+
+
+def star_clusters(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, centre) for every vertex with an edge. vertices: id, weight; edges: a, b.
+
+    A vertex is a centre when no neighbour that is still unassigned has more weight (ties: the lower id); it
+    takes its unassigned neighbours, each going to its heaviest centre. Every round assigns at least the
+    heaviest vertex of each component of the rest, so the rounds end; typos need two or three.
+    """
+    w = vertices.select("id", "weight")
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    rank = lambda s: F.struct(F.col(f"w_{s}"), -F.col(s))
+    rest = materialize(both.join(w.select(F.col("id").alias("a"), F.col("weight").alias("w_a")), "a").join(w.select(F.col("id").alias("b"), F.col("weight").alias("w_b")), "b"))
+    done = None
+    while rest.limit(1).count():
+        best = rest.groupBy("a", "w_a").agg(F.max(rank("b")).alias("top"))
+        centres = best.filter(rank("a") > F.col("top")).select(F.col("a").alias("centre"))
+        taken = rest.join(centres.withColumnRenamed("centre", "b"), "b", "left_semi").groupBy("a").agg(F.max_by("b", rank("b")).alias("centre")).select(F.col("a").alias("id"), "centre")
+        step = materialize(centres.select(F.col("centre").alias("id"), "centre").unionByName(taken))
+        done = step if done is None else done.unionByName(step)
+        gone = step.select("id")
+        left = rest.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti")
+        alone = rest.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").select(F.col("a").alias("id")).distinct().join(left.select(F.col("a").alias("id")).distinct(), "id", "left_anti")
+        left = materialize(left)
+        done = done.unionByName(alone.select("id", F.col("id").alias("centre")))
+        rest = left
+    if done is None:
+        done = vertices.select("id", F.col("id").alias("centre")).limit(0)
+    return done
+
+
+def entities(names: DataFrame) -> DataFrame:
+    """name_id, kind, entity: the entity of every readable name. names: name_id, kind, name; other columns are ignored."""
+    read = materialize(read_names(names.select("name_id", "kind", "name")))
+    with_id = read.withColumn("form", F.xxhash64(*(F.coalesce(c, F.lit("")) for c in _FORM)))
+    forms = materialize(with_id.groupBy(F.col("form").alias("id"), *_FORM).agg(F.count(F.lit(1)).alias("weight"), F.max("tokens").alias("tokens")))
+    clusters = star_clusters(forms.select("id", "weight"), materialize(link_forms(forms)))
+    placed = with_id.join(clusters.withColumnRenamed("id", "form"), "form", "left").withColumn("centre", F.coalesce("centre", "form"))
+    # full given and middle names of a cluster: as many as its people, not as its rows
+    parts = placed.groupBy("centre").agg(F.countDistinct("given").alias("n_given"), F.countDistinct("middle").alias("n_middle"))
+    entity = F.concat_ws(
+        "|", F.col("centre").cast("string"), F.when(F.col("n_given") > 1, F.coalesce("given", F.lit("?"))).otherwise(""), F.when(F.col("n_middle") > 1, F.coalesce("middle", F.lit("?"))).otherwise("")
+    )
+    return placed.join(parts, "centre").select("name_id", "kind", entity.alias("entity"))
+
+
+def linked_pairs(entity: DataFrame) -> DataFrame:
+    """name_id_a < name_id_b for every two names of one entity."""
+    a = entity.select("entity", "kind", F.col("name_id").alias("name_id_a"))
+    b = entity.select("entity", "kind", F.col("name_id").alias("name_id_b"))
+    return a.join(b, ["entity", "kind"]).filter("name_id_a < name_id_b").select("name_id_a", "name_id_b")
