@@ -87,7 +87,7 @@ def band_keys(rows: int = ROWS, recall: float = RECALL, length: int = CORE_LENGT
 
 @F.pandas_udf(T.DoubleType())
 def _likeness(core_a: pd.Series, core_b: pd.Series, tokens_a: pd.Series, tokens_b: pd.Series) -> pd.Series:
-    """Monge-Elkan over cores and words; 0 for cores more than one edit apart. Words count where both names have some."""
+    """Monge-Elkan over texts and words; 0 for texts more than one edit apart. Words count where both names have some."""
     out = []
     for a, b, ta, tb in zip(core_a, core_b, tokens_a, tokens_b, strict=True):
         if not similarity.within_one_edit(a, b):
@@ -100,15 +100,23 @@ def _likeness(core_a: pd.Series, core_b: pd.Series, tokens_a: pd.Series, tokens_
 
 
 def link_forms(forms: DataFrame) -> DataFrame:
-    """(a, b) form ids, a < b, of verified pairs. forms: id, kind, cls, core, gate, tokens."""
+    """(a, b) form ids, a < b, of verified pairs. forms: id, kind, cls, core, gate, tokens.
+
+    A double surname is blocked whole and by its halves, as one half is often left out; two forms link by
+    a half of one and the whole of the other, never by halves of both.
+    """
     salt = F.concat_ws("\x01", "kind", "cls", "gate")
-    keyed = forms.filter("length(core) >= 4").select("id", "core", F.explode(band_keys()("core", salt)).alias("band"))
-    a, b = keyed.select("band", F.col("id").alias("a"), F.col("core").alias("core_a")), keyed.select("band", F.col("id").alias("b"), F.col("core").alias("core_b"))
-    near = (F.col("a") < F.col("b")) & (F.abs(F.length("core_a") - F.length("core_b")) <= 1) & (F.levenshtein("core_a", "core_b", 2) >= 0)
-    candidates = a.join(b, "band").filter(near).select("a", "b").distinct()
-    side = lambda s: forms.select(F.col("id").alias(s), F.col("core").alias(f"core_{s}"), F.col("tokens").alias(f"tokens_{s}"), F.struct("kind", "cls", "gate").alias(f"gate_{s}"))
-    full = candidates.join(side("a"), "a").join(side("b"), "b").filter("gate_a = gate_b")
-    return full.filter(_likeness("core_a", "core_b", "tokens_a", "tokens_b") >= LEAST_LIKENESS).select("a", "b")
+    halves = F.when((F.col("cls") == "person") & (F.size("tokens") == 2), F.filter("tokens", lambda t: (F.length(t) >= 5) & (t != F.col("core")))).otherwise(F.array().cast("array<string>"))
+    texts = F.concat(F.array(F.struct(F.col("core").alias("text"), F.lit(True).alias("whole"))), F.transform(halves, lambda t: F.struct(t.alias("text"), F.lit(False).alias("whole"))))
+    each = forms.filter("length(core) >= 4").select("id", salt.alias("salt"), F.inline(texts))
+    keyed = each.select("id", "text", "whole", F.explode(band_keys()("text", "salt")).alias("band"))
+    side = lambda s: keyed.select("band", F.col("id").alias(s), F.col("text").alias(f"text_{s}"), F.col("whole").alias(f"whole_{s}"))
+    near = (F.col("a") < F.col("b")) & (F.col("whole_a") | F.col("whole_b")) & (F.abs(F.length("text_a") - F.length("text_b")) <= 1) & (F.levenshtein("text_a", "text_b", 2) >= 0)
+    candidates = side("a").join(side("b"), "band").filter(near).select("a", "b", "text_a", "text_b", (F.col("whole_a") & F.col("whole_b")).alias("whole")).distinct()
+    form = lambda s: forms.select(F.col("id").alias(s), F.col("tokens").alias(f"tokens_{s}"), F.struct("kind", "cls", "gate").alias(f"gate_{s}"))
+    full = candidates.join(form("a"), "a").join(form("b"), "b").filter("gate_a = gate_b")
+    words = [F.when(F.col("whole"), F.col(f"tokens_{s}")) for s in "ab"]
+    return full.filter(_likeness("text_a", "text_b", *words) >= LEAST_LIKENESS).select("a", "b").distinct()
 
 
 def star_clusters(vertices: DataFrame, edges: DataFrame) -> DataFrame:
