@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -131,9 +133,6 @@ def content_id(digest: bytes, codec: int = 0x55) -> str:
 
 def content_id_udf(codec: int = 0x55):
     """UDF bytes -> content identifier of their SHA-256."""
-    import hashlib
-
-    import pandas as pd
 
     @F.pandas_udf(T.StringType())
     def cid(data: pd.Series) -> pd.Series:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandlog.plans import problems, problems_sql
+from strandlog.plans import log_queries, log_sql, problems, problems_sql
 
-QUERIES = {**problems.QUERIES}
-ORACLE = {**problems_sql.ORACLE}
+QUERIES = {**log_queries.QUERIES, **problems.QUERIES}
+ORACLE = {**log_sql.ORACLE, **problems_sql.ORACLE}
