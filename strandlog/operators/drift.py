@@ -155,8 +155,9 @@ def renames(old: dict[str, tuple[str, ...]], new: dict[str, tuple[str, ...]], co
         return {}
     agreement = {k: same / compared for k, (same, compared) in counts.items() if compared}
     scores = flood(old, new, agreement)
-    picked = select_matches({(a, b): s for (a, b), s in scores.items() if a in gone and b in came})
-    return {b: a for a, b in picked if agreement.get((a, b), 0.0) >= VALUE_AGREEMENT}
+    # only pairs that carry the same values are open to the selection; among these the flooded scores decide
+    open_pairs = {(a, b): s for (a, b), s in scores.items() if a in gone and b in came and agreement.get((a, b), 0.0) >= VALUE_AGREEMENT}
+    return {b: a for a, b in select_matches(open_pairs)}
 
 
 _OUT = "mirror string, organism string, file_no bigint, field string, change string, new_field string, origin string"

@@ -1,0 +1,95 @@
+"""Spellings of one entity."""
+
+import itertools
+
+import pytest
+
+from strandlog.functions import nameparse, similarity
+from strandlog.operators import names
+
+PEOPLE = [
+    ["Gobézuhart, M. C.", "Gobezuhart, M. C.", "Gobezuhart, M.", "Dr. Michael Gobézuhart", "Mike Gobezuhart", "Gobézuhart MC", "GOBÉZUHART, M. C.", "Michael, Gobézuhart", "Gobzéuhart, Michael", "M. C. Gobézuhart"],
+    ["Gobézuhart, R.", "Robert Gobézuhart", "Bob Gobezuhart"],
+    ["Kledörulli-Vamitez, E.", "Elizabeth Kledörulli-Vamitez", "Kledoerulli Vamitez, Beth", "Kledörulli, E."],
+    ["The Fosivaburg Sequencing and Surveillance Network", "Fosivaburg Seq. & Surveillance Network", "Fosivaburg Sequencing and Surveillance Netwrok"],
+    ["Tabrolund, A. B."],
+    ["Tabrolund, A. C."],
+]
+UNITS = [
+    ["Institute of Virology, University of Vedrukaport, Vedrukaport", "Inst. of Virology, Univ. Vedrukaport", "IV-UV, Vedrukaport", "Instituto de Virología, Universidad de Vedrukaport", "INSTITUTE OF VIROLOGY, UNIVERSITY OF VEDRUKAPORT", "University of Vedrukaport - Institute of Virology - Vedrukaport", "Institute of Virlogy (University of Vedrukaport)", "Institute of Virology, University of Vedrukport"],
+    ["Department of Microbiology, University of Vedrukaport, Vedrukaport 12345", "Dept. Microbiology, Univ. Vedrukaport"],
+    ["Institute of Virology, Vedrukaport General Hospital", "Inst. of Virology, Vedrukaport Gen. Hosp., Vedrukaport"],
+]
+
+
+def table(spark):
+    rows, truth, i = [], set(), 0
+    for kind, groups in (("author", PEOPLE), ("affiliation", UNITS)):
+        for g in groups:
+            ids = []
+            for n in g:
+                i += 1
+                rows.append((i, kind, n, "PP_1", 5))
+                ids.append(i)
+            truth |= set(itertools.combinations(ids, 2))
+    # given names are known from names without a comma
+    for g in ("Michael Sorenel", "Robert Tavinor", "Elizabeth Hanumond"):
+        i += 1
+        rows.append((i, "author", g, "PP_2", 5))
+    return spark.createDataFrame(rows, "name_id long, kind string, name string, accession string, entity int"), truth
+
+
+def test_links_every_spelling_and_no_other(spark):
+    df, truth = table(spark)
+    got = set(map(tuple, names.linked_pairs(names.entities(df)).collect()))
+    assert got == truth
+
+
+def test_nulls_blanks_repeats_and_empty(spark):
+    rows = [(1, "author", None), (2, "author", " "), (3, "author", "Berg, A."), (4, "author", "Berg, A."), (5, None, "Berg, A."), (6, "affiliation", "??"), (7, "author", "X"), (8, "author", "Holm, B. " + "x" * 20_000)]
+    df = spark.createDataFrame(rows, "name_id long, kind string, name string")
+    assert set(map(tuple, names.linked_pairs(names.entities(df)).collect())) == {(3, 4)}
+    assert names.entities(df.limit(0)).count() == 0
+
+
+def test_order_of_given_and_surname():
+    one, turned = nameparse.parse_person("Michael, Gobézuhart")
+    assert one["core"] == nameparse.fold("Michael") and turned["core"] == "gobezuhart" and turned["gate"] == "m"
+    assert nameparse.parse_person("Berg, A. B.")[1] is None
+    assert nameparse.parse_person("Dr. Ann B. Berg")[0]["middle"] == "b"
+
+
+def test_collision_curve():
+    j = similarity.typo_jaccard(names.CORE_LENGTH)
+    bands = similarity.bands_for(names.RECALL, j, names.ROWS)
+    assert similarity.collision_probability(j, names.ROWS, bands) >= names.RECALL > similarity.collision_probability(j, names.ROWS, bands - 1)
+
+
+def test_recall_of_banding_against_brute_force():
+    """Single edits of names as long as the curve is tuned for share a band."""
+    import random
+
+    rng = random.Random(3)
+    hasher = similarity.MinHash(names.ROWS, similarity.bands_for(names.RECALL, similarity.typo_jaccard(names.CORE_LENGTH), names.ROWS))
+    found = total = 0
+    for _ in range(400):
+        w = "".join(rng.choice("abdefgiklmnoprstuvz") for _ in range(rng.randint(names.CORE_LENGTH, 14)))
+        k = rng.randrange(len(w) - 1)
+        edits = [w[:k] + w[k + 1 :], w[:k] + rng.choice("aeiou") + w[k:], w[:k] + w[k + 1] + w[k] + w[k + 2 :], w[:k] + "x" + w[k + 1 :]]
+        for e in edits:
+            assert similarity.within_one_edit(w, e) == (similarity.edit_distance(w, e) <= 1)
+            total += 1
+            found += bool(set(hasher.keys(w)) & set(hasher.keys(e)))
+    assert found / total >= 0.99
+
+
+@pytest.mark.parametrize(("a", "b", "d"), [("", "", 0), ("abc", "acb", 1), ("abcd", "acbe", 2), ("a", "", 1), ("kitten", "sitting", 3)])
+def test_edit_distance(a, b, d):
+    assert similarity.edit_distance(a, b) == d and similarity.within_one_edit(a, b) == (d <= 1)
+
+
+def test_star_clusters(spark):
+    v = spark.createDataFrame([(i, w) for i, w in ((1, 9), (2, 1), (3, 1), (4, 5), (5, 1), (6, 1), (7, 2), (8, 2))], "id long, weight long")
+    e = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (4, 5), (7, 8)], "a long, b long")
+    got = {r.id: r.centre for r in names.star_clusters(v, e).collect()}
+    assert got == {1: 1, 2: 1, 4: 4, 3: 4, 5: 4, 7: 7, 8: 7}
