@@ -36,7 +36,7 @@ steps as (
 ), lagged as (
   select *, coalesce(lag(kind) over (partition by organism, accession, version order by batch), 'REINSTATE') as before from steps
 ), per_batch as (
-  select organism, batch, count_if(kind = 'WITHDRAW') as named,
+  select organism, batch, count(*) filter (where kind = 'WITHDRAW') as named,
     sum(case when kind = 'WITHDRAW' and before != 'WITHDRAW' then 1 when kind != 'WITHDRAW' and before = 'WITHDRAW' then -1 else 0 end) as d
   from lagged group by organism, batch
 ), after_batches as (
@@ -114,9 +114,9 @@ ORACLE = {
     "eligible_new": _with(_FEED, f"select {_KEY} from (select distinct * from eligible) anti join published using ({_KEY})"),
     "sync_stats": _with(
         _FEED,
-        f"""select groupid, count(*) as total, count_if(terms is not distinct from 'OPEN')::bigint as open, count_if(terms is distinct from 'OPEN')::bigint as restricted,
-        count_if(terms = 'OPEN' and submitted_at > {CUTOFF})::bigint as held_back, count_if(terms = 'OPEN' and submitted_at <= {CUTOFF} and p.version is not null)::bigint as already_published,
-        count_if(terms = 'OPEN' and submitted_at <= {CUTOFF} and p.version is null)::bigint as new
+        f"""select groupid, count(*) as total, count(*) filter (where terms is not distinct from 'OPEN')::bigint as open, count(*) filter (where terms is distinct from 'OPEN')::bigint as restricted,
+        count(*) filter (where terms = 'OPEN' and submitted_at > {CUTOFF})::bigint as held_back, count(*) filter (where terms = 'OPEN' and submitted_at <= {CUTOFF} and p.version is not null)::bigint as already_published,
+        count(*) filter (where terms = 'OPEN' and submitted_at <= {CUTOFF} and p.version is null)::bigint as new
         from released r left join published p using ({_KEY}) group by groupid""",
     ),
     "already_published": _with(_FEED, f"select {_KEY} from (select distinct * from eligible) semi join published using ({_KEY})"),
@@ -217,17 +217,17 @@ ORACLE = {
     "source_matrix": _with(_AUDIT, "select source, seq, outcome from matrix"),
     "source_counters": _with(
         _AUDIT,
-        """select source, count(*) as asked, count_if(outcome = 'verified')::bigint as verified, count_if(outcome = 'missing')::bigint as missing, count_if(outcome = 'corrupt')::bigint as corrupt, count_if(outcome = 'error')::bigint as error,
-        count_if(outcome = 'missing' and not 970000000 - block_time < 4096 * 32 * 12)::bigint as missing_outside_retention, count_if(outcome != 'error')::bigint as answered from matrix join refs using (seq) group by source""",
+        """select source, count(*) as asked, count(*) filter (where outcome = 'verified')::bigint as verified, count(*) filter (where outcome = 'missing')::bigint as missing, count(*) filter (where outcome = 'corrupt')::bigint as corrupt, count(*) filter (where outcome = 'error')::bigint as error,
+        count(*) filter (where outcome = 'missing' and not 970000000 - block_time < 4096 * 32 * 12)::bigint as missing_outside_retention, count(*) filter (where outcome != 'error')::bigint as answered from matrix join refs using (seq) group by source""",
     ),
     "source_judgement": _with(
-        _AUDIT, "select source, count(*) as needed, count_if(outcome = 'verified')::bigint as needed_verified, count(*) = count_if(outcome = 'verified') as complete from matrix where seq not in (select seq from dead) group by source"
+        _AUDIT, "select source, count(*) as needed, count(*) filter (where outcome = 'verified')::bigint as needed_verified, count(*) = count(*) filter (where outcome = 'verified') as complete from matrix where seq not in (select seq from dead) group by source"
     ),
     "source_verdict": _with(
         _AUDIT,
-        """, per as (select seq, bool_or(outcome = 'verified') as ok, count_if(outcome = 'corrupt') as bad from matrix where seq not in (select seq from dead) group by seq),
+        """, per as (select seq, bool_or(outcome = 'verified') as ok, count(*) filter (where outcome = 'corrupt') as bad from matrix where seq not in (select seq from dead) group by seq),
         whole as (select coalesce(bool_or(complete), true) as one from (select source, bool_and(outcome = 'verified') as complete from matrix where seq not in (select seq from dead) group by source))
-        select count(*) as needed, count_if(ok)::bigint as recoverable, coalesce(sum(bad), 0)::bigint as corrupt, case when count_if(ok) < count(*) then 'broken' when coalesce(sum(bad), 0) > 0 or not (select one from whole) then 'degraded' else 'healthy' end as verdict from per""",
+        select count(*) as needed, count(*) filter (where ok)::bigint as recoverable, coalesce(sum(bad), 0)::bigint as corrupt, case when count(*) filter (where ok) < count(*) then 'broken' when coalesce(sum(bad), 0) > 0 or not (select one from whole) then 'degraded' else 'healthy' end as verdict from per""",
     ),
     "first_verified": _with(_AUDIT, "select seq, min(source) as source from found where outcome = 'verified' group by seq"),
     "source_attempts": _with(

@@ -71,8 +71,8 @@ cells as (
 ), good as (
   select *, case when column_name != 'geoloccountry' then value::double end as num from classes where class = 'good'
 ), loads as (
-  select mirror, load_no, load_id, column_name, count(*) as n_rows, count_if(class = 'null')::bigint as n_null, count_if(class = 'placeholder')::bigint as n_placeholder,
-    count_if(class = 'pattern')::bigint as n_pattern, count_if(class = 'range')::bigint as n_range, count_if(class = 'good')::bigint as n_good
+  select mirror, load_no, load_id, column_name, count(*) as n_rows, count(*) filter (where class = 'null')::bigint as n_null, count(*) filter (where class = 'placeholder')::bigint as n_placeholder,
+    count(*) filter (where class = 'pattern')::bigint as n_pattern, count(*) filter (where class = 'range')::bigint as n_range, count(*) filter (where class = 'good')::bigint as n_good
   from classes group by all
 ), stats as (
   select load_id, column_name, case when column_name = 'geoloccountry' then count(distinct value) else count(distinct num) end as n_distinct,
