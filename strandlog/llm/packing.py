@@ -71,7 +71,7 @@ def _measure(path: str, capacity: int):
                 out["n_tokens"].append(len(ids))
                 out["terms"].append(terms)
                 out["counts"].append(np.minimum(counts, 32_767).astype(np.int16))
-            yield pd.DataFrame({"doc_id": pd.array(out["doc_id"], dtype="Int64"), "n_tokens": out["n_tokens"], "terms": out["terms"], "counts": out["counts"]})
+            yield pd.DataFrame({"doc_id": pd.array(out["doc_id"], dtype="Int64"), "n_tokens": pd.Series(out["n_tokens"], dtype="int64"), "terms": pd.Series(out["terms"], dtype=object), "counts": pd.Series(out["counts"], dtype=object)})
 
     return run
 
