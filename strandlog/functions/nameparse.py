@@ -18,11 +18,13 @@ _NICKNAMES: dict[str, str] = {}
 _ACRONYMS = re.compile(r"^([A-Z]{2,})-([A-Z]{2,})\b")
 
 
-def fold(text: str) -> str:
-    """Lower case without accents; the transliterations ae, oe, ue count as a, o, u."""
-    low = "".join(_LETTERS.get(c, c) for c in text.lower())
-    bare = "".join(c for c in unicodedata.normalize("NFKD", low) if not unicodedata.combining(c))
-    return re.sub(r"([aou])e", r"\1", bare)
+def fold(text: str, transliterated: bool = True) -> str:
+    """Lower case without accents; the transliterations ae, oe, ue count as a, o, u unless told otherwise."""
+    low = unicodedata.normalize("NFC", text.lower())
+    if transliterated:
+        low = re.sub(r"([aou])e", r"\1", low)  # before accents go, as ö before e is no transliteration
+    low = "".join(_LETTERS.get(c, c) for c in low)
+    return "".join(c for c in unicodedata.normalize("NFKD", low) if not unicodedata.combining(c))
 
 
 @lru_cache(maxsize=65536)
@@ -48,9 +50,11 @@ def _code(words: set[str]) -> str:
 
 
 def parse_organisation(name: str) -> dict | None:
-    """core: the proper names in it; gate: codes of unit and kind of body; tokens: the words known of both."""
+    """core: the proper names in it (raw: the same with ae, oe, ue as written); gate: codes of unit and kind of body; tokens: the words known of both."""
     acronym = _ACRONYMS.match(name.strip())
-    tokens = [fold(t) for t in _WORD.findall(name)]
+    written = _WORD.findall(name)
+    tokens = [fold(t) for t in written]
+    raw = {fold(t): fold(t, False) for t in written}
     for i, t in enumerate(tokens):
         if t in BUILDING_PARTS and re.search(rf"\b{t}\W+\d", name, re.IGNORECASE):
             tokens[i] = "of"
@@ -58,7 +62,7 @@ def parse_organisation(name: str) -> dict | None:
         unit, body = acronym.groups()
         rest = sorted({t for t in tokens[2:] if t not in FILLERS})
         core = " ".join(rest) or body[-1].lower()
-        return {"cls": "organisation", "core": core, "gate": f"{''.join(sorted(unit.lower()))}|{''.join(sorted(body[:-1].lower()))}", "tokens": []}
+        return {"cls": "organisation", "core": core, "raw": " ".join(raw[t] for t in rest) or core, "gate": f"{''.join(sorted(unit.lower()))}|{''.join(sorted(body[:-1].lower()))}", "tokens": []}
     known, proper = set(), []
     for t in tokens:
         if t in FILLERS or len(t) == 1:
@@ -74,7 +78,8 @@ def parse_organisation(name: str) -> dict | None:
     if not known and not proper:
         return None
     unit, body = known - BODY_WORDS, known & BODY_WORDS
-    return {"cls": "organisation", "core": " ".join(_one_spelling(proper)), "gate": f"{_code(unit)}|{_code(body)}", "tokens": sorted(known)}
+    places = _one_spelling(proper)
+    return {"cls": "organisation", "core": " ".join(places), "raw": " ".join(raw[t] for t in places), "gate": f"{_code(unit)}|{_code(body)}", "tokens": sorted(known)}
 
 
 def _one_spelling(proper: list[str]) -> list[str]:
@@ -108,8 +113,8 @@ def _given(words: list[str]) -> tuple[str | None, str | None, str | None]:
 
 def _person(surname: list[str], given: list[str]) -> dict:
     full, first, middle = _given(given)
-    core = "".join(c for c in fold("".join(surname)) if c.isalpha())
-    return {"core": core, "given": full, "gate": first or "", "middle": middle, "tokens": [t for t in (fold(w) for s in surname for w in re.split(r"[-\s]", s)) if t]}
+    core, raw = ("".join(c for c in fold("".join(surname), t) if c.isalpha()) for t in (True, False))
+    return {"core": core, "raw": raw, "given": full, "gate": first or "", "middle": middle, "tokens": [t for t in (fold(w) for s in surname for w in re.split(r"[-\s]", s)) if t]}
 
 
 def parse_person(name: str) -> tuple[dict | None, dict | None]:
@@ -118,7 +123,8 @@ def parse_person(name: str) -> tuple[dict | None, dict | None]:
     kinds = [_institution_word(w) for w in words]
     if sum(k in ("network", "surveillance", "sequencing", "group") for k in kinds) >= 2:
         proper = _one_spelling([w for w, k in zip(words, kinds, strict=True) if not k and w not in FILLERS])
-        return {"cls": "group", "core": " ".join(proper), "gate": "", "given": None, "middle": None, "tokens": sorted({k for k in kinds if k})}, None
+        raw = {fold(x): fold(x, False) for x in _WORD.findall(name)}
+        return {"cls": "group", "core": " ".join(proper), "raw": " ".join(raw[w] for w in proper), "gate": "", "given": None, "middle": None, "tokens": sorted({k for k in kinds if k})}, None
     text = re.sub(r"\s+", " ", name.replace(" ", " ")).strip(" ,;")
     while (m := re.match(r"^([^\W\d_]+)\.?\s+", text)) and m.group(1).lower() in TITLES:
         text = text[m.end() :]

@@ -32,17 +32,17 @@ from strandlog.functions import nameparse, similarity
 from strandlog.session import materialize
 
 #: banding: rows a band, and the recall asked of a name of that many letters with its worst typo
-ROWS, RECALL, CORE_LENGTH = 4, 0.995, 9
+ROWS, RECALL, CORE_LENGTH = 4, 0.998, 8
 #: least Monge-Elkan likeness of two names of one entity
 LEAST_LIKENESS = 0.85
 
-_READING = T.StructType([*(T.StructField(c, T.StringType()) for c in ("cls", "core", "gate", "given", "middle")), T.StructField("tokens", T.ArrayType(T.StringType()))])
+_READING = T.StructType([*(T.StructField(c, T.StringType()) for c in ("cls", "core", "raw", "gate", "given", "middle")), T.StructField("tokens", T.ArrayType(T.StringType()))])
 _PARSED = T.StructType([T.StructField("first", _READING), T.StructField("turned", _READING)])
 _FORM = ["kind", "cls", "core", "gate"]
 
 
 def _reading(r: dict | None) -> dict | None:
-    return None if r is None else {"cls": r["cls"], "core": r["core"], "gate": r["gate"], "given": r.get("given"), "middle": r.get("middle"), "tokens": r["tokens"]}
+    return None if r is None else {"cls": r["cls"], "core": r["core"], "raw": r["raw"], "gate": r["gate"], "given": r.get("given"), "middle": r.get("middle"), "tokens": r["tokens"]}
 
 
 @F.pandas_udf(_PARSED)
@@ -59,7 +59,7 @@ def _parse(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFr
 
 
 def read_names(names: DataFrame) -> DataFrame:
-    """name_id, kind, cls, core, gate, given, middle, tokens: the reading of each name; unreadable names are left out."""
+    """name_id, kind, cls, core, raw, gate, given, middle, tokens: the reading of each name; unreadable names are left out."""
     parsed = names.select("name_id", "kind", "name", _parse("kind", "name").alias("p"))
     plain = F.col("p.turned").isNull() & F.col("p.first.given").isNotNull() & ~F.contains(F.col("name"), F.lit(","))
     begins = parsed.filter(plain).groupBy(F.col("p.first.given").alias("given")).agg(F.count(F.lit(1)).alias("n"))
@@ -100,14 +100,16 @@ def _likeness(core_a: pd.Series, core_b: pd.Series, tokens_a: pd.Series, tokens_
 
 
 def link_forms(forms: DataFrame) -> DataFrame:
-    """(a, b) form ids, a < b, of verified pairs. forms: id, kind, cls, core, gate, tokens.
+    """(a, b) form ids, a < b, of verified pairs. forms: id, kind, cls, core, gate, tokens, raws.
 
+    A core is blocked as folded and as written with ae, oe, ue, since a typo can make or break these pairs.
     A double surname is blocked whole and by its halves, as one half is often left out; two forms link by
     a half of one and the whole of the other, never by halves of both.
     """
     salt = F.concat_ws("\x01", "kind", "cls", "gate")
     halves = F.when((F.col("cls") == "person") & (F.size("tokens") == 2), F.filter("tokens", lambda t: (F.length(t) >= 5) & (t != F.col("core")))).otherwise(F.array().cast("array<string>"))
-    texts = F.concat(F.array(F.struct(F.col("core").alias("text"), F.lit(True).alias("whole"))), F.transform(halves, lambda t: F.struct(t.alias("text"), F.lit(False).alias("whole"))))
+    wholes = F.array_union(F.array("core"), F.coalesce("raws", F.array().cast("array<string>")))
+    texts = F.concat(F.transform(wholes, lambda t: F.struct(t.alias("text"), F.lit(True).alias("whole"))), F.transform(halves, lambda t: F.struct(t.alias("text"), F.lit(False).alias("whole"))))
     each = forms.filter("length(core) >= 4").select("id", salt.alias("salt"), F.inline(texts))
     keyed = each.select("id", "text", "whole", F.explode(band_keys()("text", "salt")).alias("band"))
     side = lambda s: keyed.select("band", F.col("id").alias(s), F.col("text").alias(f"text_{s}"), F.col("whole").alias(f"whole_{s}"))
@@ -122,12 +124,14 @@ def link_forms(forms: DataFrame) -> DataFrame:
 def star_clusters(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, centre) for every vertex with an edge. vertices: id, weight; edges: a, b.
 
-    A vertex is a centre when no neighbour that is still unassigned has more weight (ties: the lower id); it
-    takes its unassigned neighbours, each going to its heaviest centre. Every round assigns at least the
-    heaviest vertex of each component of the rest, so the rounds end; typos need two or three.
+    A vertex ranks by its weight and its number of neighbours (then by the latter alone, then by the lower id):
+    typos of one name surround it. It is a centre when no neighbour that is still unassigned ranks higher; it
+    takes its unassigned neighbours, each going to its highest centre. Every round assigns at least the
+    highest vertex of each component of the rest, so the rounds end; typos need two or three.
     """
-    w = vertices.select("id", "weight")
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    degree = both.groupBy("a").agg(F.count(F.lit(1)).alias("degree")).withColumnRenamed("a", "id")
+    w = vertices.join(degree, "id").select("id", F.struct((F.col("weight") + F.col("degree")).alias("mass"), "degree").alias("weight"))
     rank = lambda s: F.struct(F.col(f"w_{s}"), -F.col(s))
     rest = materialize(both.join(w.select(F.col("id").alias("a"), F.col("weight").alias("w_a")), "a").join(w.select(F.col("id").alias("b"), F.col("weight").alias("w_b")), "b"))
     done = None
@@ -152,7 +156,7 @@ def entities(names: DataFrame) -> DataFrame:
     """name_id, kind, entity: the entity of every readable name. names: name_id, kind, name; other columns are ignored."""
     read = materialize(read_names(names.select("name_id", "kind", "name")))
     with_id = read.withColumn("form", F.xxhash64(*(F.coalesce(c, F.lit("")) for c in _FORM)))
-    forms = materialize(with_id.groupBy(F.col("form").alias("id"), *_FORM).agg(F.count(F.lit(1)).alias("weight"), F.max("tokens").alias("tokens")))
+    forms = materialize(with_id.groupBy(F.col("form").alias("id"), *_FORM).agg(F.count(F.lit(1)).alias("weight"), F.max("tokens").alias("tokens"), F.collect_set("raw").alias("raws")))
     clusters = star_clusters(forms.select("id", "weight"), materialize(link_forms(forms)))
     placed = with_id.join(clusters.withColumnRenamed("id", "form"), "form", "left").withColumn("centre", F.coalesce("centre", "form"))
     # full given and middle names of a cluster: as many as its people, not as its rows
