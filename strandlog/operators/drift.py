@@ -22,59 +22,74 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlog.session import materialize
+
 FEED = ["mirror", "organism"]
 #: share of accessions that must carry equal values for a rename, among those where either field has one
 VALUE_AGREEMENT = 0.9
 _ROUNDS, _EPSILON = 30, 1e-4
 
 
-def cells(lines: DataFrame) -> DataFrame:
-    """mirror, organism, file_no, line_id, accession, field, type, value (JSON text, null for null): one row per line and field."""
-    v = lines.select(*FEED, "file_no", "line_id", F.try_variant_get(F.try_parse_json("line"), "$.metadata", "map<string,variant>").alias("m"))
-    v = v.filter("m is not null").select(*FEED, "file_no", "line_id", F.try_variant_get(F.col("m")["accession"], "$", "string").alias("accession"), F.explode("m").alias("field", "v"))
-    kind = F.regexp_extract(F.schema_of_variant("v"), r"^[A-Z]+", 0)
-    json_type = (
-        F.when(kind == "STRING", "string").when(kind == "BOOLEAN", "boolean").when(kind == "ARRAY", "array").when(kind == "OBJECT", "object")
-        .when(kind == "VOID", F.lit(None)).otherwise("number")
-    )
-    return v.select(*FEED, "file_no", "line_id", "accession", "field", json_type.alias("type"), F.when(json_type.isNotNull(), F.to_json("v")).alias("value"))
+#: JSON types, in the order of their bits in a set of types
+TYPES = ("string", "number", "boolean", "array", "object")
+
+
+def json_type(v: Column) -> Column:
+    """string, number, boolean, array or object of a variant; null for JSON null."""
+    kind = F.regexp_extract(F.schema_of_variant(v), r"^[A-Z]+", 0)
+    named = F.when(kind == "STRING", "string").when(kind == "BOOLEAN", "boolean").when(kind == "ARRAY", "array").when(kind == "OBJECT", "object")
+    return named.when(kind == "VOID", F.lit(None)).otherwise("number")
+
 
+def metadata(lines: DataFrame) -> DataFrame:
+    """mirror, organism, file_no, line_id, m: the metadata object of each well-formed line as map<string, variant>."""
+    v = F.try_variant_get(F.try_parse_json("line"), "$.metadata", "map<string,variant>")
+    return lines.select(*FEED, "file_no", "line_id", v.alias("m")).filter("m is not null")
 
-def file_schemas(cell: DataFrame) -> DataFrame:
-    """mirror, organism, file_no, field, types (sorted JSON types of non-null values)."""
-    return cell.groupBy(*FEED, "file_no", "field").agg(F.array_sort(F.collect_set("type")).alias("types"))
 
+def file_schemas(meta: DataFrame) -> DataFrame:
+    """mirror, organism, file_no, field, types: a bit for each of ``TYPES`` that a non-null value has. Combines before the shuffle."""
+    bit = lambda t: F.coalesce(*(F.when(t == name, F.lit(1 << k)) for k, name in enumerate(TYPES)), F.lit(0))
+    fields = F.transform(F.map_entries("m"), lambda e: F.struct(e["key"].alias("field"), bit(json_type(e["value"])).alias("t")))
+    return meta.select(*FEED, "file_no", F.inline(fields)).groupBy(*FEED, "file_no", "field").agg(F.bit_or("t").alias("types"))
 
-def value_agreement(cell: DataFrame, schemas: DataFrame) -> DataFrame:
+
+def changed_fields(schemas: DataFrame) -> DataFrame:
+    """mirror, organism, file_no, lost, new: fields that the next file lacks and that the previous file lacked.
+
+    Only where a rename is possible: some field goes and some field comes between two successive files.
+    """
+    files = schemas.groupBy(*FEED, "file_no").agg(F.collect_list("field").alias("fields"))
+    w = Window.partitionBy(*FEED).orderBy("file_no")
+    near = lambda f, d: F.when(f("file_no").over(w) == F.col("file_no") + d, f("fields").over(w))
+    beside = files.withColumn("before", near(F.lag, -1)).withColumn("after", near(F.lead, 1))
+    none = F.array().cast("array<string>")
+    pair = lambda old, cur: (F.size(F.array_except(old, cur)) > 0) & (F.size(F.array_except(cur, old)) > 0)
+    lost = F.when(F.col("after").isNotNull() & pair(F.col("fields"), F.col("after")), F.array_except("fields", "after")).otherwise(none)
+    new = F.when(F.col("before").isNotNull() & pair(F.col("before"), F.col("fields")), F.array_except("fields", "before")).otherwise(none)
+    return beside.select(*FEED, "file_no", lost.alias("lost"), new.alias("new")).filter("size(lost) > 0 or size(new) > 0")
+
+
+def value_agreement(meta: DataFrame, schemas: DataFrame) -> DataFrame:
     """mirror, organism, file_no, gone, new, same, compared: for each field gone since the previous file and each new one.
 
-    ``same`` counts the accessions with equal non-null values, ``compared`` those where either is non-null.
-    Accessions are joined feed by feed and file by file, and only values of gone and new fields take part.
+    ``same`` counts the accessions with equal non-null values, ``compared`` those where either is non-null. Values of no
+    other field leave the scan, and values are compared by their 64-bit hashes.
     """
-    here = schemas.select(*FEED, "file_no", "field")
-    files = here.select(*FEED, "file_no").distinct()
-    after = files.select(*FEED, (F.col("file_no") - 1).alias("file_no"))
-    before = files.select(*FEED, (F.col("file_no") + 1).alias("file_no"))
-    key = [*FEED, "file_no", "field"]
-    gone = here.join(after, [*FEED, "file_no"], "left_semi").join(here.select(*FEED, (F.col("file_no") - 1).alias("file_no"), "field"), key, "left_anti")
-    new = here.join(before, [*FEED, "file_no"], "left_semi").join(here.select(*FEED, (F.col("file_no") + 1).alias("file_no"), "field"), key, "left_anti")
-    one = cell.filter("accession is not null").groupBy(*key, "accession").agg(F.max("value").alias("value"))
-    present = cell.filter("accession is not null").select(*FEED, "file_no", "accession").distinct()
-    by_accession = [*FEED, "file_no", "accession"]
-    lost = one.join(gone, key, "left_semi").select(*FEED, (F.col("file_no") + 1).alias("file_no"), "accession", F.struct(F.col("field").alias("gone"), F.col("value").alias("was")).alias("g"))
-    got = one.join(new, key, "left_semi").select(*by_accession, F.struct(F.col("field").alias("new"), F.col("value").alias("is")).alias("n"))
-    # an accession's gone and new fields are as many as a schema is wide; an absent value is a null one
-    lost = lost.groupBy(*by_accession).agg(F.collect_list("g").alias("gs"))
-    got = got.groupBy(*by_accession).agg(F.collect_list("n").alias("ns"))
-    both = lost.join(present, by_accession, "left_semi").join(got, by_accession)
-    pair = both.select(*FEED, "file_no", F.explode("gs").alias("g"), "ns").select(*FEED, "file_no", "g", F.explode("ns").alias("n"))
-    either = F.col("g.was").isNotNull() | F.col("n.is").isNotNull()
-    return pair.groupBy(*FEED, "file_no", F.col("g.gone").alias("gone"), F.col("n.new").alias("new")).agg(
-        F.count_if(F.col("g.was") == F.col("n.is")).alias("same"), F.count_if(either).alias("compared")
-    )
+    value = lambda m, f: F.when(json_type(m[f]).isNotNull(), F.xxhash64(F.to_json(m[f])))
+    held = lambda c: F.transform(F.filter(c, lambda f: F.map_contains_key("m", f)), lambda f: F.struct(f.alias("f"), value(F.col("m"), f).alias("v")))
+    accession = F.try_variant_get(F.col("m")["accession"], "$", "string").alias("accession")
+    rows = meta.join(changed_fields(schemas), [*FEED, "file_no"]).select(*FEED, "file_no", accession, held("lost").alias("gs"), held("new").alias("ns")).filter("accession is not null")
+    key = [*FEED, "file_no", "accession"]
+    lost = rows.filter("size(gs) > 0").select(*FEED, (F.col("file_no") + 1).alias("file_no"), "accession", "gs").dropDuplicates(key)
+    got = rows.filter("size(ns) > 0").select(*key, "ns").dropDuplicates(key)
+    # an accession's gone and new fields are as many as a schema is wide
+    pair = lost.join(got, key).select(*FEED, "file_no", F.explode("gs").alias("g"), "ns").select(*FEED, "file_no", "g", F.explode("ns").alias("n"))
+    either = F.col("g.v").isNotNull() | F.col("n.v").isNotNull()
+    return pair.groupBy(*FEED, "file_no", F.col("g.f").alias("gone"), F.col("n.f").alias("new")).agg(F.count_if(F.col("g.v") == F.col("n.v")).alias("same"), F.count_if(either).alias("compared"))
 
 
 def _words(name: str) -> set[str]:
@@ -168,7 +183,7 @@ def _feed_changes(key: tuple, rows_of_feed: pd.DataFrame) -> pd.DataFrame:
     schemas, pairs = rows_of_feed[rows_of_feed["field"].notna()], rows_of_feed[rows_of_feed["gone"].notna()]
     by_file: dict[int, dict[str, tuple[str, ...]]] = {}
     for no, field, types in zip(schemas["file_no"], schemas["field"], schemas["types"], strict=True):
-        by_file.setdefault(int(no), {})[field] = tuple(types)
+        by_file.setdefault(int(no), {})[field] = tuple(t for k, t in enumerate(TYPES) if int(types) >> k & 1)
     counts: dict[int, dict[tuple[str, str], tuple[int, int]]] = {}
     for no, gone, new, same, compared in zip(pairs["file_no"], pairs["gone"], pairs["new"], pairs["same"], pairs["compared"], strict=True):
         counts.setdefault(int(no), {})[(gone, new)] = (int(same), int(compared))
@@ -205,18 +220,16 @@ def _feed_changes(key: tuple, rows_of_feed: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
-def _evolution(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    cell = cells(lines)
-    schemas = file_schemas(cell)
-    pairs = value_agreement(cell, schemas)
-    walked = schemas.unionByName(pairs, allowMissingColumns=True).groupBy(*FEED).applyInPandas(_feed_changes, _OUT)
-    return cell, walked
+def _evolution(lines: DataFrame) -> DataFrame:
+    meta = metadata(lines)
+    schemas = materialize(file_schemas(meta))  # one row per file and field, read three times
+    pairs = value_agreement(meta, schemas)
+    return schemas.unionByName(pairs, allowMissingColumns=True).groupBy(*FEED).applyInPandas(_feed_changes, _OUT)
 
 
 def schema_changes(lines: DataFrame) -> DataFrame:
     """mirror, organism, file_no, field, change, new_field: every field renamed, removed, added or changed in type."""
-    _, walked = _evolution(lines)
-    return walked.filter("change != 'same'").drop("origin")
+    return _evolution(lines).filter("change != 'same'").drop("origin")
 
 
 def united(lines: DataFrame) -> DataFrame:
@@ -225,7 +238,10 @@ def united(lines: DataFrame) -> DataFrame:
     ``field`` is the name under which a field was added to the feed, followed through its renames; ``value`` is
     text: a string without quotes, any other value as JSON. Null values are left out.
     """
-    cell, walked = _evolution(lines)
-    names = walked.filter("change = 'same'").select(*FEED, "file_no", "field", "origin")
-    text = F.when(F.col("type") == "string", F.from_json(F.concat(F.lit('{"v":'), "value", F.lit("}")), "v string")["v"]).otherwise(F.col("value"))
-    return cell.filter("value is not null").join(names, [*FEED, "file_no", "field"]).select(*FEED, "file_no", "line_id", "accession", F.col("origin").alias("field"), text.alias("value"))
+    names = _evolution(lines).filter("change = 'same'").select(*FEED, "file_no", F.col("new_field").alias("name"), "origin")
+    # the names of a file travel as one map, so lines are not exploded before the join
+    maps = names.groupBy(*FEED, "file_no").agg(F.map_from_entries(F.collect_list(F.struct("name", "origin"))).alias("origins"))
+    text = lambda v: F.when(json_type(v) == "string", F.try_variant_get(v, "$", "string")).when(json_type(v).isNotNull(), F.to_json(v))
+    rows = F.transform(F.map_entries("m"), lambda e: F.struct(F.element_at("origins", e["key"]).alias("field"), text(e["value"]).alias("value")))
+    accession = F.try_variant_get(F.col("m")["accession"], "$", "string").alias("accession")
+    return metadata(lines).join(maps, [*FEED, "file_no"]).select(*FEED, "file_no", "line_id", accession, F.inline(rows)).filter("value is not null")
