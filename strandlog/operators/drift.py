@@ -83,11 +83,13 @@ def value_agreement(meta: DataFrame, schemas: DataFrame) -> DataFrame:
     held = lambda c: F.transform(F.filter(c, lambda f: F.map_contains_key("m", f)), lambda f: F.struct(f.alias("f"), value(F.col("m"), f).alias("v")))
     accession = F.try_variant_get(F.col("m")["accession"], "$", "string").alias("accession")
     rows = meta.join(changed_fields(schemas), [*FEED, "file_no"]).select(*FEED, "file_no", accession, held("lost").alias("gs"), held("new").alias("ns")).filter("accession is not null")
-    key = [*FEED, "file_no", "accession"]
-    lost = rows.filter("size(gs) > 0").select(*FEED, (F.col("file_no") + 1).alias("file_no"), "accession", "gs").dropDuplicates(key)
-    got = rows.filter("size(ns) > 0").select(*key, "ns").dropDuplicates(key)
+    none = F.lit(None).cast("array<struct<f:string,v:bigint>>")
+    # a line serves the comparison with the next file by what it loses there, and that with the previous one by what it adds
+    sides = F.array(F.struct((F.col("file_no") + 1).alias("file_no"), F.col("gs").alias("gs"), none.alias("ns")), F.struct(F.col("file_no"), none.alias("gs"), F.col("ns").alias("ns")))
+    halves = rows.select(*FEED, "accession", F.inline(sides)).filter("size(gs) > 0 or size(ns) > 0")
+    both = halves.groupBy(*FEED, "file_no", "accession").agg(F.max("gs").alias("gs"), F.max("ns").alias("ns")).filter("gs is not null and ns is not null")
     # an accession's gone and new fields are as many as a schema is wide
-    pair = lost.join(got, key).select(*FEED, "file_no", F.explode("gs").alias("g"), "ns").select(*FEED, "file_no", "g", F.explode("ns").alias("n"))
+    pair = both.select(*FEED, "file_no", F.explode("gs").alias("g"), "ns").select(*FEED, "file_no", "g", F.explode("ns").alias("n"))
     either = F.col("g.v").isNotNull() | F.col("n.v").isNotNull()
     return pair.groupBy(*FEED, "file_no", F.col("g.f").alias("gone"), F.col("n.f").alias("new")).agg(F.count_if(F.col("g.v") == F.col("n.v")).alias("same"), F.count_if(either).alias("compared"))
 
