@@ -19,6 +19,7 @@ are case-sensitive; null values give a field no type.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -37,11 +38,13 @@ _ROUNDS, _EPSILON = 30, 1e-4
 TYPES = ("string", "number", "boolean", "array", "object")
 
 
+_PREFIX = {"ST": "string", "BO": "boolean", "AR": "array", "OB": "object", "BI": "number", "DE": "number", "DO": "number", "FL": "number", "IN": "number"}
+
+
 def json_type(v: Column) -> Column:
-    """string, number, boolean, array or object of a variant; null for JSON null."""
-    kind = F.regexp_extract(F.schema_of_variant(v), r"^[A-Z]+", 0)
-    named = F.when(kind == "STRING", "string").when(kind == "BOOLEAN", "boolean").when(kind == "ARRAY", "array").when(kind == "OBJECT", "object")
-    return named.when(kind == "VOID", F.lit(None)).otherwise("number")
+    """string, number, boolean, array or object of a variant; null for JSON null. The variant is looked at once."""
+    names = F.create_map(*(F.lit(x) for pair in _PREFIX.items() for x in pair))
+    return F.element_at(names, F.substring(F.schema_of_variant(v), 1, 2))
 
 
 def metadata(lines: DataFrame) -> DataFrame:
@@ -52,7 +55,8 @@ def metadata(lines: DataFrame) -> DataFrame:
 
 def file_schemas(meta: DataFrame) -> DataFrame:
     """mirror, organism, file_no, field, types: a bit for each of ``TYPES`` that a non-null value has. Combines before the shuffle."""
-    bit = lambda t: F.coalesce(*(F.when(t == name, F.lit(1 << k)) for k, name in enumerate(TYPES)), F.lit(0))
+    bits = F.create_map(*(F.lit(x) for k, name in enumerate(TYPES) for x in (name, 1 << k)))
+    bit = lambda t: F.coalesce(F.element_at(bits, F.coalesce(t, F.lit(""))), F.lit(0))
     fields = F.transform(F.map_entries("m"), lambda e: F.struct(e["key"].alias("field"), bit(json_type(e["value"])).alias("t")))
     return meta.select(*FEED, "file_no", F.inline(fields)).groupBy(*FEED, "file_no", "field").agg(F.bit_or("t").alias("types"))
 
@@ -94,11 +98,13 @@ def value_agreement(meta: DataFrame, schemas: DataFrame) -> DataFrame:
     return pair.groupBy(*FEED, "file_no", F.col("g.f").alias("gone"), F.col("n.f").alias("new")).agg(F.count_if(F.col("g.v") == F.col("n.v")).alias("same"), F.count_if(either).alias("compared"))
 
 
-def _words(name: str) -> set[str]:
+@lru_cache(maxsize=100_000)
+def _words(name: str) -> frozenset[str]:
     parts = re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[^\W\d_A-Z]+|\d+", name)
-    return {p.lower() for p in parts}
+    return frozenset(p.lower() for p in parts)
 
 
+@lru_cache(maxsize=1_000_000)
 def _likeness(a: str, b: str) -> float:
     """Dice coefficient of the padded trigrams of two names, without case and separators."""
     ga, gb = ({f"##{x}##"[i : i + 3] for i in range(len(x) + 2)} for x in (re.sub(r"[\W_]", "", s).lower() for s in (a, b)))
@@ -226,7 +232,9 @@ def _evolution(lines: DataFrame) -> DataFrame:
     meta = metadata(lines)
     schemas = materialize(file_schemas(meta))  # one row per file and field, read three times
     pairs = value_agreement(meta, schemas)
-    return schemas.unionByName(pairs, allowMissingColumns=True).groupBy(*FEED).applyInPandas(_feed_changes, _OUT)
+    # these rows are few but each feed takes time, so they are spread by number, not coalesced by size
+    n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return schemas.unionByName(pairs, allowMissingColumns=True).repartition(n, *FEED).groupBy(*FEED).applyInPandas(_feed_changes, _OUT)
 
 
 def schema_changes(lines: DataFrame) -> DataFrame:
