@@ -10,17 +10,22 @@ SLOT_SECONDS = 12
 RETENTION_SLOTS = 4096 * 32
 #: pieces asked for at once from a source that is looked up by hash
 HASH_BATCH = 24
+#: more sources than this are refused, as their names become part of the plan
+MAX_SOURCES = 1000
 
 
 def availability(sources: DataFrame, refs: DataFrame, found: DataFrame) -> DataFrame:
     """source, seq, outcome for every source and piece: verified, corrupt, error or missing.
 
     sources: source; refs: seq; found: source, seq, outcome with at most a few rows per pair. Every source is asked
-    for every piece, so the result has sources x pieces rows by definition; sources are a handful and are exploded
-    onto the pieces.
+    for every piece, so the result has sources x pieces rows by definition. The sources are configured by hand: their
+    names, at most ``MAX_SOURCES``, are put into the plan as an array that each piece explodes.
     """
-    names = sources.select("source").distinct().agg(F.array_sort(F.collect_list("source")).alias("__sources"))
-    pairs = refs.crossJoin(F.broadcast(names)).select("seq", F.explode("__sources").alias("source"))
+    names = [r.source for r in sources.select("source").distinct().limit(MAX_SOURCES + 1).collect()]
+    if len(names) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
+    each = F.array(*(F.lit(n) for n in sorted(names))) if names else F.array().cast("array<string>")
+    pairs = refs.select("seq", F.explode(each).alias("source"))
     best = found.groupBy("source", "seq").agg(F.min(F.when(F.col("outcome") == "verified", 0).when(F.col("outcome") == "corrupt", 1).otherwise(2)).alias("r"))
     outcome = F.when(F.col("r") == 0, "verified").when(F.col("r") == 1, "corrupt").when(F.col("r") == 2, "error").otherwise("missing")
     return pairs.join(best, ["source", "seq"], "left").select("source", "seq", outcome.alias("outcome"))
@@ -53,10 +58,10 @@ def attempts(candidates: DataFrame, refs: DataFrame, sources: DataFrame) -> Data
     sources: source, priority. A source's share follows from where each piece was first verified, so no loop is needed.
     """
     served = first_verified(candidates).join(sources, "source").groupBy("source").agg(F.count(F.lit(1)).alias("supplied"))
-    total = refs.agg(F.count(F.lit(1)).alias("n"))
+    total = refs.agg(F.count(F.lit(1)).alias("n")).scalar()
     w = Window.orderBy("priority", "source").rowsBetween(Window.unboundedPreceding, -1)  # one row per source
-    rows = sources.join(served, "source", "left").crossJoin(F.broadcast(total)).withColumn("supplied", F.coalesce("supplied", F.lit(0)))
-    rows = rows.withColumn("wanted", F.col("n") - F.coalesce(F.sum("supplied").over(w), F.lit(0)))
+    rows = sources.join(served, "source", "left").withColumn("supplied", F.coalesce("supplied", F.lit(0)))
+    rows = rows.withColumn("wanted", total - F.coalesce(F.sum("supplied").over(w), F.lit(0)))
     outcome = F.when(F.col("wanted") == 0, "not_asked").when(F.col("supplied") == F.col("wanted"), "ok").when(F.col("supplied") > 0, "partial").otherwise("nothing")
     return rows.select("source", "wanted", "supplied", outcome.alias("outcome"))
 
@@ -115,9 +120,9 @@ def verdict(matrix: DataFrame, dead: DataFrame) -> DataFrame:
     needed = matrix.join(dead, "seq", "left_anti")
     per = needed.groupBy("seq").agg(F.max((F.col("outcome") == "verified").cast("int")).alias("ok"), F.count_if(F.col("outcome") == "corrupt").alias("bad"))
     totals = per.agg(F.count(F.lit(1)).alias("needed"), F.coalesce(F.sum("ok"), F.lit(0)).cast("bigint").alias("recoverable"), F.coalesce(F.sum("bad"), F.lit(0)).cast("bigint").alias("corrupt"))
-    whole = judge_sources(matrix, dead).agg(F.coalesce(F.max(F.col("complete").cast("int")), F.lit(1)).alias("__one"))
-    word = F.when(F.col("recoverable") < F.col("needed"), "broken").when((F.col("corrupt") > 0) | (F.col("__one") == 0), "degraded").otherwise("healthy")
-    return totals.crossJoin(F.broadcast(whole)).select("needed", "recoverable", "corrupt", word.alias("verdict"))
+    whole = judge_sources(matrix, dead).agg(F.coalesce(F.max(F.col("complete").cast("int")), F.lit(1)).alias("one")).scalar()
+    word = F.when(F.col("recoverable") < F.col("needed"), "broken").when((F.col("corrupt") > 0) | (F.col("one") == 0), "degraded").otherwise("healthy")
+    return totals.withColumn("one", whole).select("needed", "recoverable", "corrupt", word.alias("verdict"))
 
 
 def missing_report(refs: DataFrame, matrix: DataFrame) -> DataFrame:
@@ -145,4 +150,5 @@ def stream_totals(batches: DataFrame, manifests: DataFrame, dead: DataFrame) ->
     size = batches.agg(F.count(F.lit(1)).alias("batches"), F.coalesce(F.sum("raw_bytes"), F.lit(0)).alias("raw_bytes"), F.coalesce(F.sum("compressed_bytes"), F.lit(0)).alias("compressed_bytes"))
     last = manifests.join(manifests.agg(F.max("batch").alias("batch")), "batch", "left_semi")
     counts = last.agg(F.coalesce(F.sum("entries_total"), F.lit(0)).alias("entries_total"), F.coalesce(F.sum("withdrawn_total"), F.lit(0)).alias("withdrawn_total"))
-    return size.crossJoin(counts).crossJoin(dead.agg(F.count(F.lit(1)).alias("dead_pieces")))
+    one = lambda c: counts.select(c).scalar().alias(c)
+    return size.select("*", one("entries_total"), one("withdrawn_total"), dead.agg(F.count(F.lit(1)).alias("n")).scalar().alias("dead_pieces"))
