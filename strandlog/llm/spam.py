@@ -6,9 +6,10 @@ labels: rules that are sure of a segment label it, the rest stays unlabelled. Th
 the share of its characters in segments that the trees call lists. It is then smoothed with the mean
 prediction of the page's host (the owner of its repository), and pages above one half come out.
 
-The trees are fitted on the segments of at most ``SAMPLE_PAGES`` pages, those with the lowest hash of their
-id; every page is scored, over its whole text, in one pass without a shuffle. Only the page scores are
-grouped by host, with partial sums, so a host with a third of all pages is no large group.
+The features of all segments are computed once, over whole texts and without a shuffle, and written down. The
+trees are fitted on at most ``SAMPLE_LISTS`` segments labelled as lists and ``SAMPLE_OTHERS`` labelled
+otherwise, those with the lowest hashes among all pages; then every page is scored. Only the page scores
+are grouped by host, with partial sums, so a host with a third of all pages is no large group.
 
 Defined results: a page that is null, empty or holds no cell text is no spam; null hosts are one host;
 repeated pages are scored each; without both kinds of labels in the sample the weak labels decide alone.
@@ -22,15 +23,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlog.llm.notebooks import cells
 from strandlog.llm.trees import BaggedTrees
 from strandlog.session import materialize
 
-#: pages whose segments the trees are fitted on
-SAMPLE_PAGES = 6000
+#: labelled segments that the trees are fitted on, of either label
+SAMPLE_LISTS, SAMPLE_OTHERS = 6000, 24_000
 #: weight of the host's mean prediction beside the page's own
 HOST_WEIGHT = 0.05
 
@@ -143,66 +144,82 @@ def _host(repo: pd.Series) -> list[str | None]:
     return [None if r is None or r != r else r.split("/", 1)[0] for r in repo]
 
 
-def _training_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+_MEASURED = "doc_id bigint, host string, image_chars bigint, sizes array<int>, labels array<tinyint>, f array<float>"
+
+
+def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pages to sizes, weak labels and features of their segments, features one after the other; images are no text and only counted."""
     for b in batches:
-        rows = []
+        out: dict[str, list] = {"sizes": [], "labels": [], "f": []}
+        images = []
         for text, layout in zip(b["text"], b["layout"], strict=True):
+            sizes, labels, rows, image = [], [], [], 0
             for kind, t in segments(text, layout):
+                if kind == "image":
+                    image += len(t)
+                    continue
                 f = features(kind, t)
-                label = weak_label(kind, t, f)
-                if label >= 0:
-                    rows.append((label, f))
-        yield pd.DataFrame({"label": pd.Series([r[0] for r in rows], dtype="int32"), "f": pd.Series([r[1] for r in rows], dtype=object)})
-
-
-def _pages(documents: DataFrame) -> DataFrame:
+                sizes.append(len(t))
+                labels.append(weak_label(kind, t, f))
+                rows += f
+            out["sizes"].append(np.array(sizes, dtype=np.int32))
+            out["labels"].append(np.array(labels, dtype=np.int8))
+            out["f"].append(np.array(rows, dtype=np.float32))
+            images.append(image)
+        yield pd.DataFrame({"doc_id": b["doc_id"], "host": _host(b["repo"]), "image_chars": images, **{k: pd.Series(v, dtype=object) for k, v in out.items()}})
+
+
+def measured(documents: DataFrame) -> DataFrame:
+    """doc_id, host, sizes, labels, f: one row per page with an id; columns layout and repo may be absent."""
     have = set(documents.columns)
-    return documents.select("doc_id", "text", *(F.col(c) if c in have else F.lit(None).cast("string").alias(c) for c in ("layout", "repo")))
+    pages = documents.select("doc_id", "text", *(F.col(c) if c in have else F.lit(None).cast("string").alias(c) for c in ("layout", "repo")))
+    return pages.filter("doc_id is not null").mapInPandas(_measure, _MEASURED)
 
 
-def fit(documents: DataFrame, sample_pages: int = SAMPLE_PAGES) -> BaggedTrees | None:
-    """Trees fitted on the weakly labelled segments of a bounded sample of pages; None if only one label occurs.
+def fit(pages: DataFrame, lists: int = SAMPLE_LISTS, others: int = SAMPLE_OTHERS) -> BaggedTrees | None:
+    """Trees fitted on a bounded sample of the weakly labelled segments of all pages; None if only one label occurs."""
+    n = len(FEATURES)
+    each = pages.select("doc_id", "f", F.posexplode("labels").alias("k", "label"))
+    flag = lambda name: F.element_at("f", F.col("k") * n + 1 + FEATURES.index(name)) == 1
 
-    The ids with the lowest hashes are chosen from all pages; what comes to the driver is the features of their
-    labelled segments.
-    """
-    pages = _pages(documents)
-    lowest = pages.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(sample_pages)
-    ids = [r.doc_id for r in lowest.collect() if r.doc_id is not None]
-    if not ids:
-        return None
-    chosen = pages.filter(F.col("doc_id").isin(ids)).select("text", "layout")
-    rows = chosen.mapInPandas(_training_rows, "label int, f array<double>").toPandas()
+    def lowest(label: int, limit: int, kind: Column) -> DataFrame:
+        mine = each.filter((F.col("label") == label) & kind).select(F.xxhash64("doc_id", "k").alias("h"), "doc_id", "k", "label", F.slice("f", F.col("k") * n + 1, n).alias("f"))
+        return mine.orderBy("h", "doc_id", "k").limit(limit)
+
+    # what is no list is drawn in equal parts from prose, code and output
+    rows = lowest(1, lists, F.lit(True))
+    for kind in (flag("prose"), flag("code"), ~flag("prose") & ~flag("code")):
+        rows = rows.unionByName(lowest(0, others // 3, kind))
+    rows = rows.select("label", "f").toPandas()
     if rows["label"].nunique() < 2:
         return None
-    return BaggedTrees.fit(np.array(rows["f"].tolist()), rows["label"].to_numpy())
+    return BaggedTrees.fit(np.array(rows["f"].tolist(), dtype=np.float32), rows["label"].to_numpy())
 
 
 def _score(trees: BaggedTrees | None):
+    """mapInPandas function: measured pages to their characters in all and in list segments."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            owner, length, rows, labels = [], [], [], []
-            for k, (text, layout) in enumerate(zip(b["text"], b["layout"], strict=True)):
-                for kind, t in segments(text, layout):
-                    owner.append(k)
-                    length.append(len(t))
-                    f = features(kind, t)
-                    rows.append(f)
-                    if trees is None:
-                        labels.append(weak_label(kind, t, f) == 1)
-            listed = (trees.predict(np.array(rows)) >= 0.5 if trees is not None else np.array(labels, dtype=bool)) if rows else np.zeros(0, dtype=bool)
-            at, size = np.array(owner, dtype=np.int64), np.array(length, dtype=np.int64)
-            chars = np.bincount(at, weights=size, minlength=len(b)).astype(np.int64)
+            counts = b["sizes"].map(len).to_numpy()
+            at = np.repeat(np.arange(len(b)), counts)
+            size = np.concatenate([np.asarray(x, dtype=np.int64) for x in b["sizes"]] or [np.zeros(0, dtype=np.int64)])
+            if trees is None:
+                listed = np.concatenate([np.asarray(x) for x in b["labels"]] or [np.zeros(0)]) == 1
+            else:
+                listed = trees.predict(np.concatenate([np.asarray(x, dtype=np.float32) for x in b["f"]]).reshape(-1, len(FEATURES))) >= 0.5
+            chars = np.bincount(at, weights=size, minlength=len(b)).astype(np.int64) + b["image_chars"].to_numpy(dtype=np.int64)
             spam = np.bincount(at, weights=size * listed, minlength=len(b)).astype(np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "host": _host(b["repo"]), "n_chars": chars, "list_chars": spam})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "host": b["host"], "n_chars": chars, "list_chars": spam})
 
     return run
 
 
-def page_scores(documents: DataFrame, sample_pages: int = SAMPLE_PAGES) -> DataFrame:
+def page_scores(documents: DataFrame) -> DataFrame:
     """doc_id, host, n_chars, list_chars, own (share of list characters), host_rate, score (smoothed)."""
-    trees = fit(documents, sample_pages)
-    pages = materialize(_pages(documents).filter("doc_id is not null").mapInPandas(_score(trees), "doc_id bigint, host string, n_chars bigint, list_chars bigint"))
+    segments_of = materialize(measured(documents))
+    trees = fit(segments_of)
+    pages = materialize(segments_of.mapInPandas(_score(trees), "doc_id bigint, host string, n_chars bigint, list_chars bigint"))
     own = F.when(F.col("n_chars") > 0, F.col("list_chars") / F.col("n_chars")).otherwise(0.0)
     scored = pages.withColumn("own", own).withColumn("host", F.coalesce("host", F.lit("")))
     rates = scored.groupBy("host").agg(F.avg((F.col("own") > 0.5).cast("double")).alias("host_rate"))
@@ -210,6 +227,6 @@ def page_scores(documents: DataFrame, sample_pages: int = SAMPLE_PAGES) -> DataF
     return scored.join(rates, "host").withColumn("score", smooth)
 
 
-def spam_pages(documents: DataFrame, sample_pages: int = SAMPLE_PAGES) -> DataFrame:
+def spam_pages(documents: DataFrame) -> DataFrame:
     """doc_id of the pages most of whose characters are keyword, link or product lists."""
-    return page_scores(documents, sample_pages).filter("score > 0.5").select("doc_id").distinct()
+    return page_scores(documents).filter("score > 0.5").select("doc_id").distinct()

@@ -69,7 +69,7 @@ def test_nulls_empty_repeats(spark):
 
 def test_without_both_labels_the_weak_ones_decide(spark):
     df = spark.createDataFrame([(1, link_text(random.Random(1)), None, None, None)], COLUMNS)
-    assert spam.fit(df) is None and [r.doc_id for r in spam.spam_pages(df).collect()] == [1]
+    assert spam.fit(spam.measured(df)) is None and [r.doc_id for r in spam.spam_pages(df).collect()] == [1]
     assert spam.spam_pages(df.select("doc_id", "text")).count() == 1
 
 
