@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -11,6 +13,22 @@ from pyspark.sql import DataFrame, SparkSession
 _written: list[tuple[object, str]] = []
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python once per application, unless their path already has it."""
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if home in known or os.path.abspath(os.getcwd()) == home or spark.sparkContext.applicationId in _shipped:
+        return
+    folder = tempfile.mkdtemp(prefix="strandlog-package-")
+    shutil.copytree(os.path.join(home, "strandlog"), os.path.join(folder, "in", "strandlog"), ignore=shutil.ignore_patterns("__pycache__"))
+    spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(folder, "strandlog"), "zip", os.path.join(folder, "in")))
+    atexit.register(shutil.rmtree, folder, True)
+    _shipped.add(spark.sparkContext.applicationId)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table ``name`` of a dataset directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
