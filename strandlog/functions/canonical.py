@@ -101,3 +101,13 @@ def canonical_json_udf():
         return texts.map(one)
 
     return canonical
+
+
+def is_canonical_udf():
+    """UDF text -> whether it survives parsing and writing unchanged; null for null."""
+
+    @F.pandas_udf(T.BooleanType())
+    def check(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else is_canonical(t))
+
+    return check

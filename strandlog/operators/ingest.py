@@ -6,7 +6,7 @@ boolean columns, which :func:`require` turns into a failing job before anything
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from strandlog.schema import DROPPED_FIELDS, LINE_KEYS, REQUIRED_FIELDS
@@ -112,3 +112,9 @@ def require_empty(problems: DataFrame, what: str) -> None:
     some = problems.limit(10).collect()
     if some:
         raise ValueError(f"{what}: " + "; ".join(str(r.asDict()) for r in some))
+
+
+def observed(classified: DataFrame, name: str = "sync") -> tuple[DataFrame, Observation]:
+    """The rows unchanged, and counters that fill while a job runs over them: total, new, held_back."""
+    watch = Observation(name)
+    return classified.observe(watch, F.count(F.lit(1)).alias("total"), F.count_if(F.col("class") == "new").alias("new"), F.count_if(F.col("class") == "held_back").alias("held_back")), watch

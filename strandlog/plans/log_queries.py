@@ -7,9 +7,11 @@ items for sources, and a line item for what a source answered.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -402,26 +404,26 @@ def stream_totals(spark: SparkSession, sf: str) -> DataFrame:
 # ---- scalar functions
 
 
-def human_sizes(spark: SparkSession, sf: str) -> DataFrame:
+def human_size(spark: SparkSession, sf: str) -> DataFrame:
     n = F.col("n_chars")
     return read_table(spark, sf, "documents").select("doc_id", scalars.human_size(n).alias("small"), scalars.human_size(n * 997).alias("middle"), scalars.human_size(n * n * 31).alias("large"))
 
 
-def human_durations(spark: SparkSession, sf: str) -> DataFrame:
+def human_duration(spark: SparkSession, sf: str) -> DataFrame:
     s = F.col("value") * 97 - 40
     return read_table(spark, sf, "events").select("event_id", scalars.human_duration(s).alias("duration"), scalars.relative_age(F.when(F.col("event_type") != "view", s + 40)).alias("age"))
 
 
-def split_keys(spark: SparkSession, sf: str) -> DataFrame:
+def split_key(spark: SparkSession, sf: str) -> DataFrame:
     av = read_table(spark, sf, "tombstones").select("tombstone_id", F.posexplode("accessionversions").alias("pos", "av"))
     return av.select("tombstone_id", F.col("pos").cast("bigint").alias("pos"), split_accession(F.col("av")).alias("accession"), split_version(F.col("av")).alias("version"))
 
 
-def safe_names(spark: SparkSession, sf: str) -> DataFrame:
+def safe_dirname(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "submitted_names").select("name_id", scalars.safe_dirname(F.col("name")).alias("dirname"))
 
 
-def public_urls(spark: SparkSession, sf: str) -> DataFrame:
+def public_url(spark: SparkSession, sf: str) -> DataFrame:
     """Endpoints made from repositories and paths, some with a user and a port, reduced to what may be shown."""
     d = read_table(spark, sf, "documents")
     port = F.when(F.col("n_cells") % 3 == 0, ":443").when(F.col("n_cells") % 3 == 1, ":8545").otherwise("")
@@ -430,7 +432,7 @@ def public_urls(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", scalars.public_url(url).alias("url"), scalars.redact(F.concat(F.lit("at "), F.col("repo")), ["openlab/handbook"], ["openlab"]).alias("text"))
 
 
-def slots(spark: SparkSession, sf: str) -> DataFrame:
+def slot(spark: SparkSession, sf: str) -> DataFrame:
     z, t = read_table(spark, sf, "zika_metadata"), F.col("submittedattimestamp")
     return z.select("row_id", scalars.slot_of(t, GENESIS).alias("slot"), scalars.iso_day(t).alias("day"), scalars.estimated_seconds(F.col("load_no")).cast("bigint").alias("seconds"))
 
@@ -454,10 +456,31 @@ def canonical_json(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "feed_lines").select("line_id", text.alias("canonical")).select("line_id", "canonical", F.sha2("canonical", 256).alias("sha256"))
 
 
-def content_ids(spark: SparkSession, sf: str) -> DataFrame:
+def cid(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "documents").select("doc_id", scalars.content_id_udf()(F.encode("text", "UTF-8")).alias("cid"))
 
 
+def blob_pack(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector document packed into blobs and unpacked again: number of blobs, and the digest of what comes back."""
+    return read_table(spark, sf, "vector_docs").filter("doc != ''").mapInPandas(_pack_and_unpack, "file_id bigint, blobs bigint, sha256 string")
+
+
+def _pack_and_unpack(batches):
+    for b in batches:
+        rows = []
+        for file_id, doc in zip(b["file_id"], b["doc"], strict=True):
+            data = doc.encode()
+            packed = codec.pack_blobs(data)
+            rows.append((file_id, len(packed), hashlib.sha256(b"".join(map(codec.unpack_blob, packed))[: len(data)]).hexdigest()))
+        yield pd.DataFrame(rows, columns=["file_id", "blobs", "sha256"])
+
+
+def canonical_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether lines are canonical as landed, and once made so."""
+    made = read_table(spark, sf, "feed_lines").select("line_id", "line", canonical.canonical_json_udf()(F.col("line")).alias("made"))
+    return made.select("line_id", canonical.is_canonical_udf()(F.col("line")).alias("landed"), canonical.is_canonical_udf()(F.col("made")).alias("made"))
+
+
 def _scratch(spark: SparkSession) -> str:
     """A new folder in the shared folder, as a plain path."""
     base = checkpoint_dir(spark).removeprefix("file://").removeprefix("file:")
@@ -500,7 +523,7 @@ QUERIES = {
         published_projection, entry_validation, keep_first, duplicate_entries, tombstone_state, tombstone_as_of, tombstone_conflicts, withdrawn_after_batches, ineffective_events, visible_rows, visible_as_of,
         visible_counts, version_status, published_map, withdrawn_map, canonical_order, set_union, set_intersect, set_except, artifact_digest, batch_digest, hash_chain, chain_contiguity, manifest_counts,
         manifest_compare, manifest_chain, manifest_breaks, index_placement, bytes_since_index, schema_drift, source_matrix, source_counters, source_judgement, source_verdict, first_verified, source_attempts,
-        candidate_check, missing_report, dead_blobs, torn_tail, needed_missing, block_groups, hash_batches, in_retention, enriched_refs, lost_pins, stream_totals, human_sizes, human_durations, split_keys,
-        safe_names, public_urls, slots, hashes, blob_counts, canonical_json, content_ids, container_roundtrip, streaming_append,
+        candidate_check, missing_report, dead_blobs, torn_tail, needed_missing, block_groups, hash_batches, in_retention, enriched_refs, lost_pins, stream_totals, human_size, human_duration, split_key,
+        safe_dirname, public_url, slot, hashes, blob_counts, canonical_json, canonical_check, cid, blob_pack, container_roundtrip, streaming_append,
     )
 }

@@ -253,16 +253,17 @@ ORACLE = {
         """select (select count(*) from manifests) as batches, (select sum(raw_bytes)::bigint from manifests) as raw_bytes, (select sum(n_blobs)::bigint from manifests) as compressed_bytes,
         sum(published_total)::bigint as entries_total, sum(withdrawn_total)::bigint as withdrawn_total, (select count(*) from dead) as dead_pieces from counts where batch = (select max(batch) from counts)""",
     ),
-    "human_sizes": f"select doc_id, {_size('n_chars')} as small, {_size('n_chars * 997')} as middle, {_size('n_chars * n_chars * 31')} as large from documents",
-    "human_durations": f"""select event_id, case when {_SEC} < 120 then {_SEC} || ' s' when {_MIN} < 120 then {_MIN} || ' min' else ({_MIN} // 60) || ' h ' || ({_MIN} % 60) || ' min' end as duration,
+    "human_size": f"select doc_id, {_size('n_chars')} as small, {_size('n_chars * 997')} as middle, {_size('n_chars * n_chars * 31')} as large from documents",
+    "human_duration": f"""select event_id, case when {_SEC} < 120 then {_SEC} || ' s' when {_MIN} < 120 then {_MIN} || ' min' else ({_MIN} // 60) || ' h ' || ({_MIN} % 60) || ' min' end as duration,
         case when event_type = 'view' then '–' when {_AGE} < 90 then {_h(_AGE)} || ' s' when {_AGE} < 5400 then {_h(_AGE + ' / 60')} || ' min' when {_AGE} < 172800 then {_h(_AGE + ' / 3600')} || ' h' else {_h(_AGE + ' / 86400')} || ' days' end as age from events""",
-    "split_keys": """select tombstone_id, (generate_subscripts(accessionversions, 1) - 1)::bigint as pos, unnest(list_transform(accessionversions, lambda av: case when contains(av, '.') then regexp_extract(av, '^(.*)[.]([^.]*)$', 1) end)) as accession,
+    "split_key": """select tombstone_id, (generate_subscripts(accessionversions, 1) - 1)::bigint as pos, unnest(list_transform(accessionversions, lambda av: case when contains(av, '.') then regexp_extract(av, '^(.*)[.]([^.]*)$', 1) end)) as accession,
         unnest(list_transform(accessionversions, lambda av: try_cast(nullif(regexp_extract(av, '[.]([0-9]+)$', 1), '') as bigint))) as version from tombstones""",
-    "safe_names": """select name_id, case when name in ('', '.', '..') or name like '-%' then '_' else '' end || array_to_string(list_transform(regexp_extract_all(name, '(?s).'),
+    "safe_dirname": """select name_id, case when name in ('', '.', '..') or name like '-%' then '_' else '' end || array_to_string(list_transform(regexp_extract_all(name, '(?s).'),
         lambda c: case when regexp_full_match(c, '[A-Za-z0-9._-]') then c else '%' || lpad(upper(to_hex(unicode(c))), greatest(length(to_hex(unicode(c))), 2)::int, '0') end), '') as dirname from submitted_names""",
-    "public_urls": """select doc_id, 'https://host-' || coalesce(lang, 'xx') || '.example' || case when n_cells % 3 = 1 then ':8545' else '' end as url, replace('at ' || repo, 'openlab/handbook', 'openlab') as text from documents""",
-    "slots": f"select row_id, floor((submittedattimestamp - {GENESIS}) / 12)::bigint as slot, strftime(to_timestamp(submittedattimestamp) at time zone 'UTC', '%Y-%m-%d') as day, (load_no * 12 + 960)::bigint as seconds from zika_metadata",
+    "public_url": """select doc_id, 'https://host-' || coalesce(lang, 'xx') || '.example' || case when n_cells % 3 = 1 then ':8545' else '' end as url, replace('at ' || repo, 'openlab/handbook', 'openlab') as text from documents""",
+    "slot": f"select row_id, floor((submittedattimestamp - {GENESIS}) / 12)::bigint as slot, strftime(to_timestamp(submittedattimestamp) at time zone 'UTC', '%Y-%m-%d') as day, (load_no * 12 + 960)::bigint as seconds from zika_metadata",
     "hashes": "select doc_id, sha256(text) as sha256, '0x' || lower(hex(path)) as hex, path as back from documents",
+    "blob_pack": "select file_id, ceil(strlen(doc) / 126976.0)::bigint as blobs, sha256(doc) as sha256 from vector_docs where doc != ''",
     "blob_counts": """select doc_id, ceil(n / 126976.0)::bigint as blobs, (ceil(n / 31.0) - (ceil(ceil(n / 31.0) / 4096) - 1) * 4096)::bigint as last_chunks, n // 31 // 4096 as blob, n // 31 % 4096 as element
         from (select doc_id, n_chars * 37 as n from documents where n_chars > 0)""",
 }

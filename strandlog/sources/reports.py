@@ -43,11 +43,11 @@ def to_json(report: dict) -> bytes:
     return (json.dumps(report, ensure_ascii=False, indent=2, sort_keys=True) + "\n").encode()
 
 
-def snapshot(lines: DataFrame, group: str, order: list[str], payload: str, path: str, digests: DataFrame) -> dict:
+def snapshot(lines: DataFrame, group: str, order: list[str], payload: str, path: str, digests: DataFrame, compression: str = "gzip") -> dict:
     """One compressed text file per group under ``path`` and a manifest of their digests and counts beside them."""
     from strandlog.operators.digest import write_groups
 
-    write_groups(lines, group, order, payload, os.path.join(path, "groups"), compression="zstd")
+    write_groups(lines, group, order, payload, os.path.join(path, "groups"), compression=compression)
     listed = {r[group]: {"sha256": r["sha256"], "lines": r["n_lines"]} for r in digests.collect()}
     write_atomic(os.path.join(path.removeprefix("file://"), "manifest.json"), to_json({"groups": listed}))
     return listed

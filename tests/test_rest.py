@@ -153,3 +153,56 @@ def test_queries_equal_their_sql(spark):
         got = sorted((tuple(plain(r[c]) for c in sorted(columns)) for r in df.collect()), key=str)
         assert got == want, name
     assert e.entry(spark).count() > 0
+
+
+def test_commitment(spark, tmp_path):
+    from strandlog.sources import commitment as c
+
+    f = c.CommitmentFile(str(tmp_path / "c"))
+    assert f.read() == c.State()
+    s = f.apply("published", lambda x: c.publish(x, 0, ["aa", "bb"], 7, True, "p1"))
+    assert s.piece_count == 2 and s.pointer == "p1" and s.head == c.extend(c.extend(c.ZEROS, ["aa"]), ["bb"]) and f.read() == s
+    for bad in ((0, ["cc"], 7, False), (2, [], 7, False), (2, ["cc"], 0, False), (2, ["cc"], 4097, True), (2, ["cc"], 1, False, "p")):
+        with pytest.raises(c.Refused):
+            f.apply("published", lambda x, bad=bad: c.publish(x, *bad))
+    assert f.read() == s and f.events(spark).count() == 1
+    assert c.set_app_pointer(c.set_app_pointer(s, "a"), "b").app_pointer == "b"
+    with pytest.raises(c.Refused):
+        c.set_successor(c.set_successor(s, "x"), "y")
+    with pytest.raises(c.Refused):
+        c.set_successor(s, "")
+
+
+def test_paged_scan():
+    from strandlog.sources.commitment import scan_pages
+
+    asked = []
+
+    def fetch(a, b):
+        asked.append((a, b))
+        if b - a > 3:
+            raise OSError("too many")
+        return [{"seq": 100 - k} for k in range(a, b + 1)]
+
+    assert [e["seq"] for e in scan_pages(fetch, 0, 20, 16)] == list(range(80, 101)) and asked[0] == (0, 15)
+    with pytest.raises(OSError):
+        scan_pages(lambda a, b: (_ for _ in ()).throw(OSError("down")), 0, 5)
+
+
+def test_progress_and_canonical_column(spark):
+    from strandlog.functions.canonical import is_canonical_udf
+    from strandlog.operators import ingest
+
+    df, watch = ingest.observed(spark.createDataFrame([("new",), ("held_back",), ("new",)], "class string"))
+    assert df.count() == 3 and watch.get == {"total": 3, "new": 2, "held_back": 1}
+    assert evaluate(spark, "string", ['{"a":1}', '{"a": 1}', "{", None], lambda c: is_canonical_udf()(c)) == [True, False, False, None]
+
+
+def test_snapshot(spark, tmp_path):
+    from strandlog.operators import digest
+
+    df = spark.createDataFrame([("z", 1, "l1"), ("z", 0, "l0"), ("y", 0, "m")], "g string, k long, line string")
+    listed = reports.snapshot(df, "g", ["k"], "line", str(tmp_path / "snap"), digest.group_digests(df, "g", ["k"], "line"))
+    assert listed["z"]["lines"] == 2 and json.loads((tmp_path / "snap" / "manifest.json").read_text())["groups"] == listed
+    back = spark.read.text(str(tmp_path / "snap" / "groups" / "g=z"))
+    assert [r.value for r in back.collect()] == ["l0", "l1"]
