@@ -60,11 +60,13 @@ def _parse(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFr
 
 def read_names(names: DataFrame) -> DataFrame:
     """name_id, kind, cls, core, raw, gate, given, middle, tokens: the reading of each name; unreadable names are left out."""
-    parsed = names.select("name_id", "kind", "name", _parse("kind", "name").alias("p"))
+    parsed = materialize(names.select("name_id", "kind", "name", _parse("kind", "name").alias("p")))  # read three times
     plain = F.col("p.turned").isNull() & F.col("p.first.given").isNotNull() & ~F.contains(F.col("name"), F.lit(","))
     begins = parsed.filter(plain).groupBy(F.col("p.first.given").alias("given")).agg(F.count(F.lit(1)).alias("n"))
+    # most names have no full given name: their keys are spread, as equal ones would fill one partition of the join
+    spread = F.concat(F.lit("\x00"), F.pmod(F.xxhash64("name_id", "name"), F.lit(4096)).cast("string"))
     with_counts = (
-        parsed.withColumn("g1", F.col("p.first.given")).withColumn("g2", F.col("p.turned.given"))
+        parsed.withColumn("g1", F.coalesce("p.first.given", spread)).withColumn("g2", F.coalesce("p.turned.given", spread))
         .join(begins.select(F.col("given").alias("g1"), F.col("n").alias("n1")), "g1", "left")
         .join(begins.select(F.col("given").alias("g2"), F.col("n").alias("n2")), "g2", "left")
     )
