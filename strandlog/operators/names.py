@@ -116,7 +116,8 @@ def link_forms(forms: DataFrame) -> DataFrame:
     keyed = each.select("id", "text", "whole", F.explode(band_keys()("text", "salt")).alias("band"))
     side = lambda s: keyed.select("band", F.col("id").alias(s), F.col("text").alias(f"text_{s}"), F.col("whole").alias(f"whole_{s}"))
     near = (F.col("a") < F.col("b")) & (F.col("whole_a") | F.col("whole_b")) & (F.abs(F.length("text_a") - F.length("text_b")) <= 1) & (F.levenshtein("text_a", "text_b", 2) >= 0)
-    candidates = side("a").join(side("b"), "band").filter(near).select("a", "b", "text_a", "text_b", (F.col("whole_a") & F.col("whole_b")).alias("whole")).distinct()
+    # the planner sizes the exploded keys by the small table they come from and would broadcast them
+    candidates = side("a").join(side("b").hint("merge"), "band").filter(near).select("a", "b", "text_a", "text_b", (F.col("whole_a") & F.col("whole_b")).alias("whole")).distinct()
     form = lambda s: forms.select(F.col("id").alias(s), F.col("tokens").alias(f"tokens_{s}"), F.struct("kind", "cls", "gate").alias(f"gate_{s}"))
     full = candidates.join(form("a"), "a").join(form("b"), "b").filter("gate_a = gate_b")
     words = [F.when(F.col("whole"), F.col(f"tokens_{s}")) for s in "ab"]
