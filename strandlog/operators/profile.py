@@ -27,9 +27,12 @@ PLACEHOLDERS = (
     "missing", "unknown", "unspecified", "undetermined", "undefined", "unassigned", "unavailable", "none", "no data", "no value", "no information", "empty", "blank", "restricted access", "restricted", "withheld", "confidential",
     "n/a", "na", "n.a.", "n.a", "#n/a", "nan", "null", "nil", "void", "nd", "n.d.", "n.d", "n/d", "s/d", "s.d.", "sd", "tbd", "tba", "tbc", "to be determined", "to be confirmed", "to be announced", "pending",
     "missing: not provided", "missing: not collected", "missing: restricted access", "missing: control sample", "missing: third party data",
+    "(blank)", "unk", "undef", "not yet known", "not recorded yet", "no record", "#value!", "#ref!", "nulo", "vacío", "vazio",
+    "sin información", "sin especificar", "no reportado", "no determinado", "no se conoce", "por confirmar", "pendiente", "não disponível", "não se aplica", "não coletado", "non précisé", "nicht erhoben", "nicht bekannt", "ohne angabe", "entfällt",
     "sin dato", "sin datos", "no disponible", "desconocido", "no aplica", "nao informado", "não informado", "sem dados", "desconhecido", "unbekannt", "keine angabe", "k.a.", "k. a.", "nicht verfügbar", "inconnu", "non disponible", "non renseigné", "sans objet", "non disponibile", "sconosciuto", "onbekend",
 )
 _NO_TEXT = r"\A[\s\p{Z}\-‐-―_.?*/\\#~]*\z"
+_AROUND = r"^[\s\[(<{\"']+|[\s\])>}\"']+$"
 DECIMAL_FORM = r"\A-?[0-9]+(\.[0-9]+)?\z"
 INTEGER_FORM = r"\A-?[0-9]+\z"
 
@@ -50,8 +53,12 @@ class ColumnRule:
 
 
 def is_placeholder(value: Column) -> Column:
-    """True for blank text, text of dashes, dots and the like, and the texts of ``PLACEHOLDERS``."""
-    return value.rlike(_NO_TEXT) | F.lower(F.trim(value)).isin(*PLACEHOLDERS)
+    """True for blank text, text of dashes, dots and the like, and the texts of ``PLACEHOLDERS``.
+
+    Case, brackets and quotes around the text, and the number of spaces do not matter; an underscore counts as a space.
+    """
+    bare = F.regexp_replace(F.lower(value), _AROUND, "")
+    return value.rlike(_NO_TEXT) | F.lower(F.trim(value)).isin(*PLACEHOLDERS) | F.regexp_replace(bare, r"[\s_]+", " ").isin(*PLACEHOLDERS)
 
 
 def classify(df: DataFrame, rules: list[ColumnRule], keep: list[str]) -> DataFrame:

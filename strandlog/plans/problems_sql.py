@@ -53,6 +53,8 @@ select file_id, entry_pos, accession, gene, item_pos, insertion from ({_INS_ROWS
 
 _TEXTS = ", ".join("'" + p.replace("'", "''") + "'" for p in PLACEHOLDERS)
 
+_AROUND = """'^[\\s\\[(<{"'']+|[\\s\\])>}"'']+$'"""
+
 _CELLS = f"""
 cells as (
   select mirror, load_no, load_id, row_id, 'geoloccountry' as column_name, geoloccountry as value from zika_metadata
@@ -61,7 +63,7 @@ cells as (
 ), classes as (
   select *, case
     when value is null then 'null'
-    when regexp_full_match(value, '[\\s\\pZ\\-‐-―_.?*/\\\\#~]*') or lower(trim(value)) in ({_TEXTS}) then 'placeholder'
+    when regexp_full_match(value, '[\\s\\pZ\\-‐-―_.?*/\\\\#~]*') or lower(trim(value)) in ({_TEXTS}) or regexp_replace(regexp_replace(lower(value), {_AROUND}, '', 'g'), '[\\s_]+', ' ', 'g') in ({_TEXTS}) then 'placeholder'
     when column_name = 'geoloccountry' then case when value in (select name from geo_countries) then 'good' else 'pattern' end
     when column_name = 'breadthofcoverage' and not regexp_full_match(value, '-?[0-9]+(\\.[0-9]+)?') then 'pattern'
     when column_name = 'ampliconsize' and not regexp_full_match(value, '-?[0-9]+') then 'pattern'
