@@ -51,7 +51,7 @@ _LINK = re.compile(r"\]\(|<a\s+href|https?://|www\.", re.IGNORECASE)
 _TAG = re.compile(r"<[^<>]{1,200}>")
 _WORD = re.compile(r"[^\W\d_]+")
 _HASHTAG = re.compile(r"#[^\W_]\w+")
-_SENTENCE = re.compile(r"[^\W\d_]{2,}[)\"'»]?[.?!](?=\s|$)")
+_SENTENCE = re.compile(r"[.?!](?=\s|$)(?<=[^\W\d_)\"'».].)")
 _OFFER = re.compile(r"\bSKU\b|\b\d+[.,]\d\d\b\s*(?:$|€|\$|EUR|USD)|[€$£]\s?\d", re.MULTILINE)
 _PHRASES = re.compile(r"\bnear me\b|\btop 10\b")
 
@@ -111,7 +111,7 @@ def features(kind: str, text: str) -> list[float]:
         math.log(n), url_chars / n, links / m, len(_SENTENCE.findall(plain)) / m if "." in plain or "?" in plain or "!" in plain else 0.0, sum(map(FUNCTION_WORDS.__contains__, words)) / m, offers / m,
         len(_HASHTAG.findall(plain)) / m if "#" in plain else 0.0, len(distinct) / m, sum(map(plain.count, "0123456789")) / p, sum(map(plain.count, "=(){}[]_:;+*%\\")) / p,
         (plain.count(",") + plain.count("|") + plain.count(";") + plain.count(">>") + plain.count("<<") + plain.count(" - ")) / m, m / lines, letters / m,
-        len(_OFFER.findall(plain)) / lines if "SKU" in plain or "." in plain or "," in plain else 0.0, float(prose), float(kind == "code"), anchors / lines, max(map(len, distinct), default=0) / p,
+        len(_OFFER.findall(plain)) / lines if prose or "SKU" in plain or "$" in plain or "€" in plain or "£" in plain else 0.0, float(prose), float(kind == "code"), anchors / lines, max(map(len, distinct), default=0) / p,
     ]
 
 
