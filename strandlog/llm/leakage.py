@@ -8,9 +8,10 @@ positions, and the words around each are compared exactly. Passages of one item
 are merged into removal spans.
 
 A shard is a stretch of a partition, so no row is shuffled and memory is bounded by the shard's words.
-Words that occur in no item all count as one symbol, and runs of more than two of them as two: no window with
-at most one altered word holds two of them in a row, so nothing is lost. The items are collected and
-sent to the tasks; their number is checked against ``MAX_ITEMS``.
+Words that occur in no item all count as one symbol. Stretches in which every 15 consecutive words hold
+two or more of them cannot be part of a passage and shrink to a double mark, across which no window can match;
+so nothing is lost, and positions are mapped back to the document's words. The items are collected
+and sent to the tasks; their number is checked against ``MAX_ITEMS``.
 
 Defined results: documents or items that are null, empty or shorter than the window have no passage;
 repeated documents are each reported; ties do not arise, as every passage counts.
@@ -111,23 +112,39 @@ class ItemPhrases:
             self.owner, self.offset = owner[order], offset[order]
             self.first = np.concatenate(([0], np.cumsum(np.bincount(inverse.ravel(), minlength=len(self.phrases)))))
 
-    def encode(self, words: list[str]) -> np.ndarray:
-        """Symbols of a document's words; a compound written apart counts as the one word it is in the items."""
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of the stretches of a document that could hold a passage, and the place of each among its words.
+
+        A compound written apart counts as the one word it is in the items.
+        """
         get = self.code.get
         if not self.heads.isdisjoint(words):
-            out, k, n = [], 0, len(words)
+            out, at, k, n = [], [], 0, len(words)
             while k < n:
                 w = words[k]
                 joined = self.pairs.get((w, words[k + 1])) if w in self.heads and k + 1 < n else None
                 out.append(get(joined or w, 1))
+                at.append(k)
                 k += 2 if joined else 1
-            codes = np.array(out, dtype=np.int32)
+            codes, places = np.array(out, dtype=np.int32), np.array(at, dtype=np.int64)
         else:
             codes = np.fromiter((get(w, 1) for w in words), dtype=np.int32, count=len(words))
-        other = codes == 1
-        if len(codes) > 2:
-            codes = codes[~np.concatenate(([False, False], other[2:] & other[1:-1] & other[:-2]))]
-        return codes
+            places = np.arange(len(words))
+        if len(codes) < WINDOW:
+            return codes[:0], places[:0]
+        foreign = np.concatenate(([0], np.cumsum(codes == 1)))
+        begins = np.flatnonzero(foreign[WINDOW:] - foreign[:-WINDOW] <= ALTERED)
+        if not len(begins):
+            return codes[:0], places[:0]
+        edge = np.zeros(len(codes) + 1, dtype=np.int32)
+        edge[begins] += 1
+        edge[begins + WINDOW] -= 1
+        keep = np.cumsum(edge[:-1]) > 0
+        new = np.flatnonzero(keep[1:] & ~keep[:-1]) + 1
+        kept = np.flatnonzero(keep)
+        cut = np.repeat(np.searchsorted(kept, new), ALTERED + 1) if len(new) else np.zeros(0, dtype=np.int64)
+        cut = cut[cut > 0]
+        return np.insert(codes[kept], cut, 0), np.insert(places[kept], cut, -1)
 
 
 def _passages(seq: np.ndarray, ends: np.ndarray, items: ItemPhrases) -> Iterator[tuple[int, int, int, int]]:
@@ -161,7 +178,7 @@ def _search(items: ItemPhrases, layout: bool):
     """mapInPandas function: documents in, (doc_id, item_id, stream, first_word, last_word) out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        docs: list[tuple[int, int]] = []
+        docs: list[tuple[int, int, np.ndarray]] = []
         parts: list[np.ndarray] = []
         size = 0
 
@@ -170,7 +187,7 @@ def _search(items: ItemPhrases, layout: bool):
             end = np.zeros(1, dtype=np.int32)
             seq = np.concatenate([x for p in parts for x in (p, end)])
             ends = np.cumsum([len(p) + 1 for p in parts])
-            rows = [(docs[d][0], items.items[t], docs[d][1], a, b) for d, t, a, b in _passages(seq, ends, items)]
+            rows = [(docs[d][0], items.items[t], docs[d][1], docs[d][2][a], docs[d][2][b]) for d, t, a, b in _passages(seq, ends, items)]
             docs, parts, size = [], [], 0
             return pd.DataFrame(rows, columns=["doc_id", "item_id", "stream", "first_word", "last_word"])
 
@@ -180,9 +197,9 @@ def _search(items: ItemPhrases, layout: bool):
                 if doc_id is None or text is None or doc_id != doc_id:
                     continue
                 for k, words in enumerate(streams(text, lay)):
-                    codes = items.encode(words)
+                    codes, places = items.encode(words)
                     if len(codes) >= WINDOW:
-                        docs.append((doc_id, k))
+                        docs.append((doc_id, k, places))
                         parts.append(codes)
                         size += len(codes) + 1
                 if size >= SHARD_WORDS:
@@ -197,7 +214,7 @@ def removal_spans(documents: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, stream, first_word, last_word: merged spans of leaked passages.
 
     documents: doc_id, text, layout (optional); items: item_id and text columns question and answer. Word numbers
-    count the words of the document's stream (0: all cells, 1: prose cells) after runs of foreign words are cut to two.
+    count the words of the document's stream (0: all cells, 1: prose cells) from 0.
     """
     rows = items.select("item_id", "question", "answer").limit(MAX_ITEMS + 1).collect()
     if len(rows) > MAX_ITEMS:
