@@ -44,7 +44,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = profile.profile(read_table(spark, sf_dir, "zika_metadata"), zika_rules(spark, sf_dir))
-    return p.select("mirror", "load_no", "load_id", "column_name", "n_rows", "n_null", "n_placeholder", "n_pattern", "n_range", "n_good", "n_distinct", "low", "high", "median", "ks")
+    return p.select("mirror", "load_no", "load_id", "column_name", "n_rows", "n_null", "n_placeholder", "n_pattern", "n_range", "n_good", "n_distinct", "low", "high", F.round("median", 6).alias("median"), F.round("ks", 9).alias("ks"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -112,7 +112,7 @@ P2_PROFILE = f"""with {_CELLS}, curves as (
   where p.n_good > 0 and p.n_good_prev > 0
   window w as (partition by b.load_id, b.column_name order by b.num, b.value range unbounded preceding)
 ), ks as (select load_id, column_name, max(abs(f - g)) as ks from curves group by all)
-select mirror, load_no, load_id, column_name, n_rows, n_null, n_placeholder, n_pattern, n_range, n_good, n_distinct, low, high, median, ks
+select mirror, load_no, load_id, column_name, n_rows, n_null, n_placeholder, n_pattern, n_range, n_good, n_distinct, low, high, round(median, 6) as median, round(ks, 9) as ks
 from pairs left join ks using (load_id, column_name)"""
 
 ORACLE = {
