@@ -21,7 +21,7 @@ def availability(sources: DataFrame, refs: DataFrame, found: DataFrame) -> DataF
     for every piece, so the result has sources x pieces rows by definition. The sources are configured by hand: their
     names, at most ``MAX_SOURCES``, are put into the plan as an array that each piece explodes.
     """
-    names = [r.source for r in sources.select("source").distinct().limit(MAX_SOURCES + 1).collect()]
+    names = [r.source for r in sources.select("source").filter("source is not null").distinct().limit(MAX_SOURCES + 1).collect()]
     if len(names) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     each = F.array(*(F.lit(n) for n in sorted(names))) if names else F.array().cast("array<string>")

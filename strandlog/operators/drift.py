@@ -11,7 +11,7 @@ Only schema rows (fields x files of one feed, with counts of agreeing values) re
 lines and values are aggregated in the JVM. A feed that holds a third of all lines is therefore a few
 rows more, not a large group.
 
-Defined results: a line that is null or no JSON object with an object under ``metadata`` gives no field; repeated
+Defined results: a line that is null or no JSON object with an object under ``metadata``, or of no feed or file, gives no field; repeated
 lines count once; a file whose predecessor by number is absent is compared with nothing; field names
 are case-sensitive; null values give a field no type.
 """
@@ -50,7 +50,7 @@ def json_type(v: Column) -> Column:
 def metadata(lines: DataFrame) -> DataFrame:
     """mirror, organism, file_no, line_id, m: the metadata object of each well-formed line as map<string, variant>."""
     v = F.try_variant_get(F.try_parse_json("line"), "$.metadata", "map<string,variant>")
-    return lines.select(*FEED, "file_no", "line_id", v.alias("m")).filter("m is not null")
+    return lines.select(*FEED, "file_no", "line_id", v.alias("m")).filter("m is not null and mirror is not null and organism is not null and file_no is not null")
 
 
 def file_schemas(meta: DataFrame) -> DataFrame:

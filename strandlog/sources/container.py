@@ -435,7 +435,10 @@ def write_batch(records: DataFrame, organisms: dict[str, dict], state: WriterSta
                 os.fsync(f.fileno())
         yield pd.DataFrame({"manifest": [canonical.dumps(manifest)], "n": [len(blobs)], "digest": [after.previous], "since": [after.bytes_since_index]})
 
-    done = ordered.mapInPandas(run, "manifest string, n bigint, digest binary, since bigint").collect()[0]
+    done = ordered.mapInPandas(run, "manifest string, n bigint, digest binary, since bigint").collect()
+    if not done:
+        raise ValueError("a batch without entries, withdrawals or reinstatements is not written")
+    done = done[0]
     for k in range(done.n):
         name = f"{state.next_blob + k:08d}.blob"
         if os.path.exists(os.path.join(path, name)):

@@ -51,6 +51,8 @@ def test_broken_lines_gaps_and_repeats(spark):
     assert changes(lines(spark, files)) == []
     assert changes(lines(spark, {1: [{"accession": None, "x": 1}], 2: [{"x": 1, "z": {"k": 1}}]})) == [(2, "accession", "removed", "accession"), (2, "z", "added", "z")]
     assert drift.schema_changes(lines(spark, {1: [{"a": 1}]}).limit(0)).count() == 0
+    stray = lines(spark, {1: [{"a": 1}], None: [{"b": 2}]}).unionByName(lines(spark, {2: [{"c": 1}]}, mirror=None))
+    assert changes(stray) == []
 
 
 def test_united_table_follows_renames(spark):
