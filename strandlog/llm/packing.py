@@ -223,7 +223,9 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, tokenizers: str = TOKEN
     seen[df["t"].to_numpy(dtype=np.int64)] = df["df"].to_numpy()
     idf = np.log(1.0 + (total.n - seen + 0.5) / (seen + 0.5))
     shards = max(1, math.ceil(total.n / shard_texts))
-    packed = rest.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(
+    # the number of partitions follows the number of shards, so a task holds a few of them at any size
+    parts = shards if shards <= 400 else max(400, shards // 8)
+    packed = rest.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")).repartition(parts, "shard").groupBy("shard").applyInPandas(
         _pack(idf, float(total.mean or 1.0), capacity), "shard int, slot bigint, doc_id bigint, row bigint, first_token bigint, n_tokens bigint"
     )
     shared = packed.select(
