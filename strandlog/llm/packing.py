@@ -6,9 +6,10 @@ others are never split.
 
 Texts are spread over shards of bounded size. Each shard holds an inverted index over token ids with BM25
 weights (document frequencies and mean length are counted over all texts). The longest unused text
-opens a container and is the query; its best unused matches are put in if hardly any longer text would
-fit, and the last gap goes to the longest unused text that fits it. Long texts open containers first, so
-short ones remain for the gaps. Containers that still have space are emptied and filled again by length.
+opens a container and is the query, with all its distinct terms. Of all unused texts that share a term with it,
+the best match goes in that hardly any longer text would outdo in filling the space, again and again until the
+container is full; a text that shares none goes in only where no match fits. Long texts open containers first,
+so short ones remain for the gaps. Containers that still have space are emptied and filled again by length.
 
 Defined results: null and empty texts have no tokens and are in no container; repeated rows are packed each;
 ties are broken by row; a text of exactly the capacity is alone in its container.
@@ -34,8 +35,6 @@ SHARD_TEXTS = 4000
 #: folder of the tokenizers' files, and the file of byte-pair ranks
 TOKENIZERS = os.environ.get("STRANDLOG_TOKENIZERS", "/opt/tokenizers")
 RANKS_FILE = "byte_bpe_50k.tiktoken"
-#: terms of a seed that are looked up, and matches that are considered for its container
-QUERY_TERMS, MATCHES = 24, 48
 BM25_K1, BM25_B = 1.2, 0.75
 #: containers with more unused tokens than this are emptied and filled again by length alone
 TOLERANCE = 16
@@ -108,16 +107,17 @@ class _Gaps:
 def pack_shard(lengths: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray], idf: np.ndarray, mean_length: float, capacity: int) -> np.ndarray:
     """The container (from 0) of each text of a shard, in the order of filling; lengths are from 1 to capacity - 1."""
     n = len(lengths)
-    sizes = np.array([len(t) for t in terms])
-    flat = np.concatenate(terms).astype(np.int64) if n else np.zeros(0, dtype=np.int64)
-    owner = np.repeat(np.arange(n), sizes)
-    tf = np.concatenate(counts).astype(np.float64) if n else np.zeros(0)
-    weight = idf[flat] * tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * lengths[owner] / max(mean_length, 1.0)))
-    # the inverted index: postings sorted by term, and where each term's begin
-    by_term = np.argsort(flat, kind="stable")
-    post_doc, post_weight = owner[by_term], weight[by_term]
-    begin = np.searchsorted(flat[by_term], np.arange(len(idf) + 1))
+    # texts by length, so that those of a range of lengths and their terms stand together
+    rising = np.lexsort((np.arange(n), lengths))
+    place = np.empty(n, dtype=np.int64)
+    place[rising] = np.arange(n)
+    sizes = np.array([len(terms[t]) for t in rising], dtype=np.int64)
+    flat = np.concatenate([terms[t] for t in rising]).astype(np.int64) if n else np.zeros(0, dtype=np.int64)
+    tf = np.concatenate([counts[t] for t in rising]).astype(np.float64) if n else np.zeros(0)
+    weight = idf[flat] * tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * np.repeat(lengths[rising], sizes) / max(mean_length, 1.0)))
     start = np.concatenate(([0], np.cumsum(sizes)))
+    by_size = lengths[rising]
+    asked = np.zeros(len(idf))  # 1 at the terms of the seed
     order = np.lexsort((np.arange(n), -lengths))
     gaps = _Gaps(order, lengths, capacity)
     used, container, opened = gaps.used, np.full(n, -1, dtype=np.int64), 0
@@ -132,27 +132,16 @@ def pack_shard(lengths: np.ndarray, terms: list[np.ndarray], counts: list[np.nda
         if used[seed]:
             continue
         room = capacity - put(int(seed))
-        if room >= shortest:
-            mine = slice(start[seed], start[seed + 1])
-            strong = flat[mine][np.argsort(-weight[mine], kind="stable")[:QUERY_TERMS]]
-            scores = np.zeros(n)
-            for t in strong:
-                a, b = begin[t], begin[t + 1]
-                scores[post_doc[a:b]] += post_weight[a:b]
-            scores[used | (lengths > room)] = 0.0
-            k = min(MATCHES, n - 1)
-            best = np.argpartition(-scores, k)[: k + 1] if k > 0 else np.arange(n)
-            for t in best[np.lexsort((best, -scores[best]))]:
-                if scores[t] <= 0.0 or room < shortest:
-                    break
-                size = int(lengths[t])
-                if size > room:
-                    continue
-                # short texts are kept for the last gaps: a match goes in if few longer texts would fit
-                if size >= KEEP_SHORT * gaps.longest(room):
-                    room -= put(int(t))
+        mine = flat[start[place[seed]] : start[place[seed] + 1]]
+        asked[mine] = 1.0
         while room >= shortest and (length := gaps.longest(room)):
-            room -= put(gaps.any_of(length))
+            # short texts are kept for the last gaps: a match goes in if few longer texts would fit
+            a, b = np.searchsorted(by_size, KEEP_SHORT * length), np.searchsorted(by_size, room, side="right")
+            scores = np.add.reduceat(weight[start[a] : start[b]] * asked[flat[start[a] : start[b]]], start[a:b] - start[a])
+            scores[used[rising[a:b]]] = 0.0
+            best = scores.max()
+            room -= put(int(rising[a:b][scores == best].min()) if best > 0.0 else gaps.any_of(length))
+        asked[mine] = 0.0
         opened += 1
     return refill(lengths, container, capacity)
 

@@ -87,3 +87,16 @@ def test_gaps():
     g.take(g.any_of(5), 5)
     g.take(g.any_of(5), 5)
     assert g.longest(10) == 3
+
+
+def test_every_neighbour_and_every_term_is_seen():
+    """Sixty copies too short for the gap rank before the only neighbour that fills it; in the other half it shares the seed's weakest term."""
+    lengths = np.array([60, 40, *[10] * 60, 40])
+    terms = [np.arange(30), np.array([60]), *[np.arange(20)] * 60, np.array([29])]
+    terms, counts = [t.astype(np.int32) for t in terms], [np.ones(len(t), dtype=np.int16) for t in terms]
+    idf = np.concatenate((np.full(20, 5.0), np.linspace(2.0, 1.0, 10), np.ones(31)))
+    got = packing.pack_shard(lengths, terms, counts, idf, 12.0, 100)
+    assert got[0] == got[62] != got[1]
+    few = [0, 1, 62]
+    got = packing.pack_shard(lengths[few], [terms[k] for k in few], [counts[k] for k in few], idf, 40.0, 100)
+    assert got[0] == got[2] != got[1]
