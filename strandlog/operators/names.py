@@ -5,9 +5,9 @@
    "A, B" the reading counts whose given name more names of the corpus begin with.
 2. Equal readings are one form. Forms are blocked by MinHash banding over the padded q-grams of the
    core, within a gate; the number of bands follows from the collision curve at the likeness that one
-   typo leaves.
+   typo leaves. Cores too short for these bands are blocked exactly, by what is left without one letter.
 3. Candidate forms are verified: at most one edit between the cores, and Monge-Elkan likeness of the
-   words of both names.
+   words of both names, of which one edit is always allowed.
 4. Star clustering: the form with most names is a centre and takes its verified neighbours; what is
    left goes on, until nothing is.
 5. Where one cluster still holds several full given or middle names, these part it.
@@ -24,7 +24,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,7 +33,9 @@ from strandlog.session import materialize
 
 #: banding: rows a band, and the recall asked of a name of that many letters with its worst typo
 ROWS, RECALL, CORE_LENGTH = 4, 0.998, 8
-#: least Monge-Elkan likeness of two names of one entity
+#: letters of the shortest core in which an edit is taken for a typo
+LEAST_LENGTH = 3
+#: least Monge-Elkan likeness of two names of one entity; short words may have less, as one edit is more of them
 LEAST_LIKENESS = 0.85
 
 _READING = T.StructType([*(T.StructField(c, T.StringType()) for c in ("cls", "core", "raw", "gate", "given", "middle")), T.StructField("tokens", T.ArrayType(T.StringType()))])
@@ -87,18 +89,31 @@ def band_keys(rows: int = ROWS, recall: float = RECALL, length: int = CORE_LENGT
     return keys
 
 
-@F.pandas_udf(T.DoubleType())
-def _likeness(core_a: pd.Series, core_b: pd.Series, tokens_a: pd.Series, tokens_b: pd.Series) -> pd.Series:
-    """Monge-Elkan over texts and words; 0 for texts more than one edit apart. Words count where both names have some."""
+def deletion_keys(text: Column, salt: Column) -> Column:
+    """array<bigint>: a key of the text and of each text with one letter less; texts one edit or swap apart share one."""
+    less = F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text))))
+    return F.array_distinct(F.transform(F.concat(F.array(text), less), lambda t: F.xxhash64(salt, t)))
+
+
+@F.pandas_udf(T.BooleanType())
+def _alike(core_a: pd.Series, core_b: pd.Series, tokens_a: pd.Series, tokens_b: pd.Series, parts: pd.Series) -> pd.Series:
+    """At most one edit between the texts, and Monge-Elkan over texts and words. Words count where both names have some.
+
+    The least likeness is what one edit in the text leaves, if that is lower; where the words are parts of the
+    text, the edit is in the shortest of them too.
+    """
     out = []
-    for a, b, ta, tb in zip(core_a, core_b, tokens_a, tokens_b, strict=True):
+    for a, b, ta, tb, part in zip(core_a, core_b, tokens_a, tokens_b, parts, strict=True):
         if not similarity.within_one_edit(a, b):
-            out.append(0.0)
+            out.append(False)
             continue
         wa, wb = list(ta) if ta is not None else [], list(tb) if tb is not None else []
         known = bool(wa) and bool(wb)
-        out.append(similarity.monge_elkan([a, *(wa if known else [])], [b, *(wb if known else [])]))
-    return pd.Series(out)
+        one, other = [a, *(wa if known else [])], [b, *(wb if known else [])]
+        edit = 1 / min(len(a), len(b)) + (1 / min(map(len, wa + wb)) if known and part else 0)
+        least = min(LEAST_LIKENESS, 1 - edit / min(len(one), len(other)))
+        out.append(similarity.monge_elkan(one, other) >= least - 1e-9)
+    return pd.Series(out, dtype=bool)
 
 
 def link_forms(forms: DataFrame) -> DataFrame:
@@ -112,8 +127,12 @@ def link_forms(forms: DataFrame) -> DataFrame:
     halves = F.when((F.col("cls") == "person") & (F.size("tokens") == 2), F.filter("tokens", lambda t: (F.length(t) >= 5) & (t != F.col("core")))).otherwise(F.array().cast("array<string>"))
     wholes = F.array_union(F.array("core"), F.coalesce("raws", F.array().cast("array<string>")))
     texts = F.concat(F.transform(wholes, lambda t: F.struct(t.alias("text"), F.lit(True).alias("whole"))), F.transform(halves, lambda t: F.struct(t.alias("text"), F.lit(False).alias("whole"))))
-    each = forms.filter("length(core) >= 4").select("id", salt.alias("salt"), F.inline(texts))
-    keyed = each.select("id", "text", "whole", F.explode(band_keys()("text", "salt")).alias("band"))
+    each = forms.filter(F.length("core") >= LEAST_LENGTH).select("id", salt.alias("salt"), F.inline(texts))
+    # texts of just the length are keyed both ways, so those one letter longer or shorter meet them
+    long, short = each.filter(F.length("text") >= CORE_LENGTH), each.filter(F.length("text") <= CORE_LENGTH)
+    keyed = long.select("id", "text", "whole", F.explode(band_keys()("text", "salt")).alias("band")).unionByName(
+        short.select("id", "text", "whole", F.explode(deletion_keys(F.col("text"), F.col("salt"))).alias("band"))
+    )
     side = lambda s: keyed.select("band", F.col("id").alias(s), F.col("text").alias(f"text_{s}"), F.col("whole").alias(f"whole_{s}"))
     near = (F.col("a") < F.col("b")) & (F.col("whole_a") | F.col("whole_b")) & (F.abs(F.length("text_a") - F.length("text_b")) <= 1) & (F.levenshtein("text_a", "text_b", 2) >= 0)
     # the planner sizes the exploded keys by the small table they come from and would broadcast them
@@ -121,7 +140,7 @@ def link_forms(forms: DataFrame) -> DataFrame:
     form = lambda s: forms.select(F.col("id").alias(s), F.col("tokens").alias(f"tokens_{s}"), F.struct("kind", "cls", "gate").alias(f"gate_{s}"))
     full = candidates.join(form("a"), "a").join(form("b"), "b").filter("gate_a = gate_b")
     words = [F.when(F.col("whole"), F.col(f"tokens_{s}")) for s in "ab"]
-    return full.filter(_likeness("text_a", "text_b", *words) >= LEAST_LIKENESS).select("a", "b").distinct()
+    return full.filter(_alike("text_a", "text_b", *words, F.col("gate_a.cls") == "person")).select("a", "b").distinct()
 
 
 def star_clusters(vertices: DataFrame, edges: DataFrame) -> DataFrame:

@@ -93,3 +93,30 @@ def test_star_clusters(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (4, 5), (7, 8)], "a long, b long")
     got = {r.id: r.centre for r in names.star_clusters(v, e).collect()}
     assert got == {1: 1, 2: 1, 4: 4, 3: 4, 5: 4, 7: 7, 8: 7}
+
+
+def test_recall_of_linking_at_every_length(spark):
+    """Single edits of cores from 3 letters up link; two edits do not."""
+    import random
+
+    rng = random.Random(5)
+    rows, lengths = [], []
+    for _ in range(300):
+        w = "".join(rng.choice("abdefgiklmnoprstuvz") for _ in range(rng.randint(names.LEAST_LENGTH, 12)))
+        k = rng.randrange(len(w) - 1)
+        edits = [w[:k] + rng.choice("aeiou") + w[k:], w[:k] + w[k + 1] + w[k] + w[k + 2 :], w[:k] + "x" + w[k + 1 :], w[:k] + w[k + 1 :]]
+        for e in edits[: 3 + (len(w) > names.LEAST_LENGTH)]:
+            lengths.append(min(len(w), len(e)))
+            rows += [(len(rows) + j, "author", "person", t, f"g{len(lengths)}", [t], [t]) for j, t in enumerate((w, e, "xx" + w + "xx"))]
+    assert min(lengths) == 3
+    got = {(r.a, r.b) for r in names.link_forms(spark.createDataFrame(rows, "id long, kind string, cls string, core string, gate string, tokens array<string>, raws array<string>")).collect()}
+    same = {i for i in range(len(lengths)) if rows[3 * i][3] == rows[3 * i + 1][3]}
+    missed = [n for i, n in enumerate(lengths) if (3 * i, 3 * i + 1) not in got and i not in same]
+    assert all(n >= names.CORE_LENGTH for n in missed) and len(missed) <= len(lengths) // 100
+    assert all((a % 3, b - a) == (0, 1) for a, b in got)
+
+
+def test_typos_of_short_surnames(spark):
+    rows = [(1, "author", "Santos, M."), (2, "author", "Snatos, M."), (3, "author", "Lee, K."), (4, "author", "Leee, K."), (5, "author", "van Berg, T."), (6, "author", "vna Berg, T."), (7, "author", "Santos, R."), (8, "author", "Soares, M.")]
+    got = set(map(tuple, names.linked_pairs(names.entities(spark.createDataFrame(rows, "name_id long, kind string, name string"))).collect()))
+    assert got == {(1, 2), (3, 4), (5, 6)}
