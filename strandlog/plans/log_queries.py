@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from strandlog.functions import canonical, codec, scalars
 from strandlog.operators import audit, delta, digest, ingest, manifest, state
-from strandlog.schema import KEY, accession_version, split_accession, split_version
+from strandlog.schema import KEY, LINE_KEYS, accession_version, split_accession, split_version
 from strandlog.session import checkpoint_dir, materialize, read_table
 from strandlog.sources import container, feed
 
@@ -489,21 +489,74 @@ def _scratch(spark: SparkSession) -> str:
     return path
 
 
+def container_records(e: DataFrame, ev: DataFrame) -> DataFrame:
+    """batch, kind, organism, accession, version, payload: a record per entry with all six fields, and per batch, organism, kind and note of events."""
+    pairs = F.coalesce("metadata", F.create_map().cast("map<string,string>"))
+    own = F.create_map(F.lit("accession"), F.col("accession"), F.lit("version"), F.col("version").cast("string"))
+    fields = [F.col(k.lower()).alias(k) for k in LINE_KEYS if k != "metadata"]
+    meta = e.withColumn("metadata", F.map_concat(F.map_filter(pairs, lambda k, _: ~k.isin("accession", "version")), own))
+    body = F.to_json(F.struct("organism", "metadata", *fields), {"ignoreNullFields": "false"})
+    rows = meta.select("batch", F.lit("ENTRY").alias("kind"), "organism", "accession", "version", F.regexp_replace(body, '"version":"([0-9]+)"', '"version":$1').alias("text"))
+    lists = ev.groupBy("batch", "organism", "kind", "note").agg(F.array_sort(F.collect_set(accession_version())).alias("accessionVersions"))
+    gone = F.to_json(F.struct("organism", "accessionVersions", "note"), {"ignoreNullFields": "false"})
+    tombs = lists.select("batch", "kind", "organism", F.lit(None).cast("string").alias("accession"), F.lit(None).cast("bigint").alias("version"), gone.alias("text"))
+    return rows.unionByName(tombs).withColumn("payload", F.encode(canonical.canonical_json_udf()("text"), "UTF-8")).drop("text")
+
+
+def _index(e: DataFrame, ev: DataFrame, batch: int) -> dict:
+    """The content of an index of a batch; as large as that record."""
+    out: dict = {"batch": batch, "entries": {}, "withdrawn": {}}
+    for part, keys in (("entries", state.published_map(e.filter(F.col("batch") <= batch))), ("withdrawn", state.withdrawn_map(ev.filter(F.col("batch") <= batch)))):
+        for r in keys.toLocalIterator():
+            out[part].setdefault(r.organism, {})[r.accession] = [list(v) if part == "entries" else v for v in r.versions]
+    return out
+
+
+def _payload_digests(records: DataFrame, side: str) -> DataFrame:
+    """kind, organism, and of one side n, bytes and a digest of the payloads with their batches that does not depend on order."""
+    h = records.select("kind", "organism", F.octet_length("payload").alias("bytes"), F.sha2(F.concat(F.encode(F.concat(F.col("batch").cast("string"), F.lit(":")), "UTF-8"), "payload"), 256).alias("h"))
+    # hashes are added as four numbers of 64 bits
+    sums = [F.sum(F.conv(F.substring("h", k, 16), 16, 10).cast("decimal(20,0)")).cast("string") for k in (1, 17, 33, 49)]
+    return h.groupBy("kind", "organism").agg(F.count(F.lit(1)).alias(f"n_{side}"), F.sum("bytes").alias(f"bytes_{side}"), F.sha2(F.concat_ws(":", *sums), 256).alias(f"sha256_{side}"))
+
+
 def container_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    """Every entry and tombstone written as one batch of blobs and read back: kind, organism, n, sha256 of what came back."""
-    e = state.keep_first(entries(spark, sf))
-    body = F.to_json(F.struct("organism", "metadata", F.col("unalignednucleotidesequences").alias("unalignedNucleotideSequences"), F.col("alignedaminoacidsequences").alias("alignedAminoAcidSequences")), {"ignoreNullFields": "false"})
-    meta = e.withColumn("metadata", F.map_concat(F.map_filter("metadata", lambda k, _: ~k.isin("accession", "version")), F.create_map(F.lit("accession"), F.col("accession"), F.lit("version"), F.col("version").cast("string"))))
-    rows = meta.select(F.lit("ENTRY").alias("kind"), "organism", "accession", "version", F.encode(canonical.canonical_json_udf()(F.regexp_replace(body, '"version":"([0-9]+)"', '"version":$1')), "UTF-8").alias("payload"))
-    lists = delta.change_lists(state.withdrawn(events(spark, sf)))
-    gone = F.to_json(F.struct("organism", F.col("accession_versions").alias("accessionVersions"), F.lit(None).cast("string").alias("note")), {"ignoreNullFields": "false"})
-    tombs = lists.select(F.lit("WITHDRAW").alias("kind"), "organism", F.lit(None).cast("string").alias("accession"), F.lit(None).cast("bigint").alias("version"), F.encode(canonical.canonical_json_udf()(gone), "UTF-8").alias("payload"))
-    path = _scratch(spark)
-    if rows.limit(1).count() + tombs.limit(1).count() == 0:
-        return spark.createDataFrame([], "kind string, organism string, n long, bytes long")
-    container.write_batch(rows.unionByName(tombs), {}, container.WriterState(), path, codec_id=codec.RAW)
-    back = container.decode(spark, path).records
-    return back.groupBy("kind", "organism").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("payload")).alias("bytes"))
+    """The first entry of every key and all sound events, batch by batch, written with zstd and read back: kind, organism, and n, bytes and digest of what was written and of what came back.
+
+    Batches are numbered without gaps. Manifests state the counts of their batch; an index stands in the last
+    batch and wherever the bytes since the one before could call for it. Kinds MANIFEST and INDEX compare these.
+    """
+    e, ev = state.keep_first(entries(spark, sf)), events(spark, sf)
+    numbers = sorted(r.batch for r in e.select("batch").union(ev.select("batch")).distinct().filter("batch is not null").collect())
+    out = "kind string, organism string, n_written long, bytes_written long, sha256_written string, n_read long, bytes_read long, sha256_read string"
+    if not numbers:
+        return spark.createDataFrame([], out)
+    number = spark.createDataFrame(list(zip(numbers, range(len(numbers)), strict=True)), "batch long, number long")
+    numbered = lambda df: materialize(df.join(F.broadcast(number), "batch").drop("batch").withColumnRenamed("number", "batch"))
+    e, ev = numbered(e), numbered(ev)
+    records = materialize(container_records(e, ev))
+    counts: dict[int, dict] = {}
+    for r in manifest.batch_counts(e.select("batch", *KEY), state.state_after_each_batch(ev)).collect():
+        counts.setdefault(r.batch, {})[r.organism] = {"entriesInBatch": r.entries_in_batch, "publishedTotal": r.published_total, "withdrawnInBatch": r.withdrawn_in_batch, "withdrawnTotal": r.withdrawn_total}
+    sizes = {r.batch: r.n for r in records.groupBy("batch").agg(F.sum(F.octet_length("payload") + 16).alias("n")).collect()}
+    path, at, stated, indexes = _scratch(spark), container.WriterState(), [], []
+    for batch in range(len(numbers)):
+        due = batch == len(numbers) - 1 or at.bytes_since_index + sizes[batch] >= manifest.INDEX_THRESHOLD
+        index = _index(e, ev, batch) if due else None
+        said, at = container.write_batch(records.filter(F.col("batch") == batch).drop("batch"), counts[batch], at, path, index=index)
+        stated.append(said)
+        indexes += [index] if due else []
+    back = container.decode(spark, path)
+    stream = container.Stream(*container.folder_fetch(path))
+    found = [container.read_index(stream.read(b.index_at, b.index_length)) for b in back.structure.batches if b.index_length]
+    rows = []
+    for kind, written, read in (("MANIFEST", stated, [b.manifest for b in back.structure.batches]), ("INDEX", indexes, found)):
+        texts = ["\n".join(map(canonical.dumps, x)).encode() for x in (written, read)]
+        rows.append((kind, None, *(v for x, t in zip((written, read), texts, strict=True) for v in (len(x), len(t), hashlib.sha256(t).hexdigest()))))
+    one, other = _payload_digests(records, "written"), _payload_digests(back.records, "read")
+    both = one.withColumnRenamed("kind", "k").withColumnRenamed("organism", "o").join(other, F.col("k").eqNullSafe(F.col("kind")) & F.col("o").eqNullSafe(F.col("organism")), "full_outer")
+    compared = both.select(F.coalesce("kind", "k").alias("kind"), F.coalesce("organism", "o").alias("organism"), *(c.split()[0] for c in out.split(", ")[2:]))
+    return compared.unionByName(spark.createDataFrame(rows, out))
 
 
 def streaming_append(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from strandlog import schema
 from strandlog.functions import canonical, codec, scalars
 from strandlog.sources import container
 from strandlog.sources.container import WriterState
@@ -203,3 +204,22 @@ def test_hostile_length():
     s = container.walk(lambda k: blobs[k], 1)
     assert not s.batches and len(s.torn) == 1
     assert container.walk(lambda k: None, 0).batches == []
+
+
+def test_registered_round_trip_is_whole(spark, tmp_path):
+    from strandlog.plans import log_queries
+
+    e = {"organism": "zika", "accession": "A", "metadata": {"country": None}, "unalignednucleotidesequences": {"main": "AC"}, "alignednucleotidesequences": {"main": "NAC"}, "nucleotideinsertions": {"main": ["3:T"]}, "alignedaminoacidsequences": {"E": None}, "aminoacidinsertions": {"E": ["2:K"]}}
+    rows = [e | {"batch": 0, "ordinal": 0, "version": 1}, e | {"batch": 3, "ordinal": 0, "version": 2}, e | {"batch": 3, "ordinal": 1, "version": 1}]
+    entries = spark.createDataFrame(rows, schema.ENTRIES)
+    entries.write.parquet(str(tmp_path / "entries.parquet"))
+    tombs = [(3, "zika", "WITHDRAW", ["A.1"], "gone"), (5, "zika", "REINSTATE", ["A.1"], None), (6, "zika", "WITHDRAW", ["A.2"], None), (6, "zika", "REINSTATE", ["A.2"], None)]
+    spark.createDataFrame(tombs, schema.TOMBSTONES).write.parquet(str(tmp_path / "tombstones.parquet"))
+    got = {(r.kind, r.organism): r for r in log_queries.container_roundtrip(spark, str(tmp_path)).collect()}
+    assert {k: r.n_read for k, r in got.items()} == {("ENTRY", "zika"): 2, ("WITHDRAW", "zika"): 1, ("REINSTATE", "zika"): 1, ("MANIFEST", None): 3, ("INDEX", None): 1}
+    assert all((r.n_written, r.bytes_written, r.sha256_written) == (r.n_read, r.bytes_read, r.sha256_read) for r in got.values())
+    made = log_queries.container_records(entries.filter("batch = 0"), log_queries.events(spark, str(tmp_path))).collect()
+    assert set(json.loads(next(r.payload for r in made if r.kind == "ENTRY"))) == {"organism", *schema.LINE_KEYS}
+    assert {json.loads(r.payload)["note"] for r in made if r.kind != "ENTRY"} == {"gone", None}
+    altered = [log_queries._payload_digests(spark.createDataFrame([(0, "ENTRY", "zika", t)], "batch long, kind string, organism string, payload binary"), "read").first().sha256_read for t in (b"ab", b"ba")]
+    assert altered[0] != altered[1]
