@@ -40,6 +40,8 @@ def _institution_word(word: str) -> str | None:
 
 
 _NICKNAMES.update({fold(k): fold(v) for k, v in NICKNAMES.items()})
+#: full given names that are known as such
+GIVEN_NAMES = frozenset(_NICKNAMES.values())
 _CANON_FOLDED = {fold(k): v for k, v in _CANON.items()}
 _CANON.update(_CANON_FOLDED)
 _LONG = [w for w in _CANON if len(w) >= 6]

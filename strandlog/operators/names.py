@@ -10,7 +10,8 @@
    words of both names, of which one edit is always allowed.
 4. Star clustering: the form with most names is a centre and takes its verified neighbours; what is
    left goes on, until nothing is.
-5. Where one cluster still holds several full given or middle names, these part it.
+5. Where one cluster still holds several full given or middle names, these part it. Given names one edit
+   apart are first clustered in the same way, so a misspelt one parts nothing.
 
 Blocks hold distinct forms, never names, so a spelling that a third of all rows carry is one form.
 Nothing is collected and no block is cut; joins on band keys are ordinary shuffle joins that AQE may split.
@@ -174,6 +175,26 @@ def star_clusters(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return done
 
 
+def given_spellings(placed: DataFrame) -> DataFrame:
+    """centre, given, main: the spelling that stands for a full given name within a cluster, for those that are one edit from another.
+
+    placed: centre, given and other columns, a row per name. One edit is a typo in names of LEAST_LENGTH letters or
+    more, but never between two that the list of nicknames has as names of their own.
+    """
+    listed = F.array(*map(F.lit, sorted(nameparse.GIVEN_NAMES)))
+    counted = placed.filter("given is not null").groupBy("centre", "given").agg(F.count(F.lit(1)).alias("weight"))
+    several = counted.join(counted.groupBy("centre").count().filter("count > 1").select("centre"), "centre", "left_semi")
+    vertices = materialize(several.withColumn("id", F.xxhash64("centre", "given")).withColumn("listed", F.array_contains(listed, F.col("given"))))
+    keyed = vertices.filter(F.length("given") >= LEAST_LENGTH).select("id", "centre", "given", "listed", F.explode(deletion_keys(F.col("given"), F.col("centre").cast("string"))).alias("key"))
+    side = lambda s: keyed.select("centre", "key", F.col("id").alias(s), F.col("given").alias(f"given_{s}"), F.col("listed").alias(f"listed_{s}"))
+    met = side("a").join(side("b").hint("merge"), ["centre", "key"]).filter((F.col("a") < F.col("b")) & ~(F.col("listed_a") & F.col("listed_b"))).select("a", "b", "given_a", "given_b").distinct()
+    none = F.lit(None).cast("array<string>")
+    edges = materialize(met.filter(_alike("given_a", "given_b", none, none, F.lit(False))).select("a", "b"))
+    stars = star_clusters(vertices.select("id", "weight"), edges)
+    mains = vertices.select(F.col("id").alias("star"), F.col("given").alias("main"))
+    return vertices.select("centre", "given", "id").join(stars.withColumnRenamed("centre", "star"), "id").join(mains, "star").select("centre", "given", "main")
+
+
 def entities(names: DataFrame) -> DataFrame:
     """name_id, kind, entity: the entity of every readable name. names: name_id, kind, name; other columns are ignored."""
     read = materialize(read_names(names.select("name_id", "kind", "name")))
@@ -181,6 +202,8 @@ def entities(names: DataFrame) -> DataFrame:
     forms = materialize(with_id.groupBy(F.col("form").alias("id"), *_FORM).agg(F.count(F.lit(1)).alias("weight"), F.max("tokens").alias("tokens"), F.collect_set("raw").alias("raws")))
     clusters = star_clusters(forms.select("id", "weight"), materialize(link_forms(forms)))
     placed = with_id.join(clusters.withColumnRenamed("id", "form"), "form", "left").withColumn("centre", F.coalesce("centre", "form"))
+    placed = materialize(placed)
+    placed = placed.join(given_spellings(placed), ["centre", "given"], "left").withColumn("given", F.coalesce("main", "given"))
     # full given and middle names of a cluster: as many as its people, not as its rows
     parts = placed.groupBy("centre").agg(F.countDistinct("given").alias("n_given"), F.countDistinct("middle").alias("n_middle"))
     entity = F.concat_ws(

@@ -120,3 +120,13 @@ def test_typos_of_short_surnames(spark):
     rows = [(1, "author", "Santos, M."), (2, "author", "Snatos, M."), (3, "author", "Lee, K."), (4, "author", "Leee, K."), (5, "author", "van Berg, T."), (6, "author", "vna Berg, T."), (7, "author", "Santos, R."), (8, "author", "Soares, M.")]
     got = set(map(tuple, names.linked_pairs(names.entities(spark.createDataFrame(rows, "name_id long, kind string, name string"))).collect()))
     assert got == {(1, 2), (3, 4), (5, 6)}
+
+
+def test_misspelt_given_names_part_no_entity(spark):
+    """A typo in a given name stays with its name; clearly different given names, also listed ones an edit apart, part the entity."""
+    same = ["Maria Gobezuhart", "Maria Gobezuhart", "Mraia Gobezuhart", "Gobezuhart, M."]
+    other = ["Daniel Tabrolund", "Daneil Tabrolund", "Dolores Tabrolund"]
+    listed = ["Francisco Kledoruli", "Francis Kledoruli", "Daniela Vamitez", "Daniel Vamitez"]
+    rows = [(i, "author", n) for i, n in enumerate(same + other + listed)]
+    got = set(map(tuple, names.linked_pairs(names.entities(spark.createDataFrame(rows, "name_id long, kind string, name string"))).collect()))
+    assert got == set(itertools.combinations(range(4), 2)) | {(4, 5)}
