@@ -1,14 +1,25 @@
-"""The queries p6_ to p8_, each over its whole tables with production parameters."""
+"""The queries p3_ and p6_ to p8_, each over its whole tables with production parameters."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlog.llm import leakage, packing, spam
+from strandlog.llm import leakage, names, packing, spam
 from strandlog.session import materialize, read_table
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.linked_pairs(names.entities(read_table(spark, sf_dir, "submitted_names")))
+
+
+def p3_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every name with its class and the number of other names linked to it."""
+    e = materialize(names.entities(read_table(spark, sf_dir, "submitted_names")))
+    sizes = e.groupBy("entity").agg(F.min("name_id").alias("class_id"), (F.count(F.lit(1)) - 1).alias("links"))
+    return e.join(sizes, "entity").select("name_id", "kind", "class_id", "links")
+
+
 def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
@@ -38,5 +49,5 @@ def p8_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.groupBy("host").agg(F.count(F.lit(1)).alias("n_pages"), F.first("host_rate").alias("spam_rate"))
 
 
-QUERIES = {f.__name__: f for f in (p6_packed, p6_containers, p7_found, p7_spans, p8_found, p8_hosts)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_entities, p6_packed, p6_containers, p7_found, p7_spans, p8_found, p8_hosts)}
 ORACLE: dict[str, str] = {}
