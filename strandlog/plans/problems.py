@@ -1,12 +1,12 @@
-"""The queries p1_ to p5_: preparation of general data, each over its whole tables with production parameters."""
+"""The queries p1_, p2_, p4_ and p5_: preparation of general data, each over its whole tables with production parameters."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlog.operators import drift, names, nested, packed, profile
-from strandlog.session import materialize, read_table
+from strandlog.operators import drift, nested, packed, profile
+from strandlog.session import read_table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,17 +47,6 @@ def p2_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("mirror", "load_no", "load_id", "column_name", "n_rows", "n_null", "n_placeholder", "n_pattern", "n_range", "n_good", "n_distinct", "low", "high", F.round("median", 6).alias("median"), F.round("ks", 9).alias("ks"))
 
 
-def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return names.linked_pairs(names.entities(read_table(spark, sf_dir, "submitted_names")))
-
-
-def p3_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every name with its class and the number of other names linked to it."""
-    e = materialize(names.entities(read_table(spark, sf_dir, "submitted_names")))
-    sizes = e.groupBy("entity").agg(F.min("name_id").alias("class_id"), (F.count(F.lit(1)) - 1).alias("links"))
-    return e.join(sizes, "entity").select("name_id", "kind", "class_id", "links")
-
-
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     zika = packed.explode_packed(read_table(spark, sf_dir, "zika_metadata"), "authors", "person", ["row_id"])
     andv = packed.explode_packed(read_table(spark, sf_dir, "andv_metadata"), "authoraffiliations", "organisation", ["row_id"])
@@ -73,4 +62,4 @@ def p5_united(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.united(read_table(spark, sf_dir, "feed_lines"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_records, p1_sequences, p1_insertions, p2_found, p2_profile, p3_found, p3_entities, p4_found, p5_found, p5_united)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_records, p1_sequences, p1_insertions, p2_found, p2_profile, p4_found, p5_found, p5_united)}
