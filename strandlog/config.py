@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import os
-import re
+import string
 import tomllib
 from dataclasses import dataclass, field, fields
 
-_NAME = re.compile(r"\$\{([A-Za-z_]\w*)\}")
+
+class _Braced(string.Template):
+    """Text in which only ``${NAME}`` with an ASCII name stands for something; any other dollar sign is itself."""
+
+    pattern = r"(?a:\$(?:\{(?P<braced>[A-Za-z_]\w*)\}|(?P<escaped>(?!))|(?P<named>(?!))|(?P<invalid>(?!))))"
 
 
 @dataclass
@@ -19,20 +23,6 @@ class Settings:
     shuffle_partitions: int = 0
 
 
-def _expand(value: object) -> object:
-    if isinstance(value, str):
-
-        def one(m: re.Match) -> str:
-            if m.group(1) not in os.environ:
-                raise ValueError(f"the environment has no {m.group(1)}")
-            return os.environ[m.group(1)]
-
-        return _NAME.sub(one, value)
-    if isinstance(value, list):
-        return [_expand(v) for v in value]
-    return value
-
-
 def load(path: str) -> Settings:
     """The settings of a file; an unknown key, or a value of another type than the default's, is refused."""
     with open(path, "rb") as f:
@@ -41,12 +31,20 @@ def load(path: str) -> Settings:
     unknown = sorted(set(given) - set(known))
     if unknown:
         raise ValueError(f"unknown settings: {', '.join(unknown)}")
-    out = Settings(**{k: _expand(v) for k, v in given.items()})
-    for name in given:
-        default, value = getattr(Settings(), name), getattr(out, name)
-        if type(value) is not type(default):
-            raise ValueError(f"{name} must be a {type(default).__name__}")
-    return out
+    plain = Settings()
+    for name, value in given.items():
+        wanted = type(getattr(plain, name))
+        if type(value) is not wanted:
+            raise ValueError(f"{name} must be a {wanted.__name__}")
+        texts = [value] if wanted is str else value if wanted is list else []
+        if not all(isinstance(t, str) for t in texts):
+            raise ValueError(f"{name} must hold texts only")
+        try:
+            filled = [_Braced(t).substitute(os.environ) for t in texts]
+        except KeyError as absent:
+            raise ValueError(f"{name}: the environment has no {absent.args[0]}") from None
+        setattr(plain, name, filled[0] if wanted is str else filled if wanted is list else value)
+    return plain
 
 
 def first_not_given(public: list[str], given: list[str]) -> list[str]:

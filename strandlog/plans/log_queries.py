@@ -7,8 +7,10 @@ items for sources, and a line item for what a source answered.
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import os
+import shutil
 import uuid
 
 import pandas as pd
@@ -482,10 +484,14 @@ def canonical_check(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A new folder in the shared folder, as a plain path."""
-    base = checkpoint_dir(spark).removeprefix("file://").removeprefix("file:")
-    path = os.path.join(base, f"container-{uuid.uuid4().hex}")
+    """A new folder in the shared folder as a plain path, removed when the driver ends; tasks write blobs there as plain files."""
+    base = checkpoint_dir(spark)
+    scheme, _, rest = base.partition(":") if "://" in base or base.startswith("file:") else ("file", "", base)
+    if scheme != "file":
+        raise ValueError(f"containers are written as plain files: spark.checkpoint.dir must be a shared mount, not {scheme}:")
+    path = os.path.join("/" + rest.lstrip("/"), f"container-{uuid.uuid4().hex}")
     os.makedirs(path)
+    atexit.register(shutil.rmtree, path, True)
     return path
 
 

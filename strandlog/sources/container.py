@@ -302,15 +302,18 @@ class Decoded:
 def decode(spark: SparkSession, path: str, form: Format | None = None) -> Decoded:
     """Structure and records of a folder of blobs, bad bodies struck out (see the module's head).
 
-    Bodies are checked in parallel; normally the first round finds all of them good.
+    Bodies are checked in parallel; normally the first round finds all of them good. After a refusal only the
+    batches that the repeated walk places at or behind it are checked again.
     """
     fetch, count = folder_fetch(path)
     rejected: set[int] = set()
+    sound = 0  # batches that begin before this blob are known to be good
     while True:
         structure = walk(fetch, count, form, frozenset(rejected))
         parts = [(b.begin.first_blob, b.body_at, b.begin) for b in structure.batches]
+        open_parts = [p for p in parts if p[0] >= sound]
 
-        def check(batches, parts=parts):
+        def check(batches, parts=open_parts):
             import pandas as pd
 
             get, n = folder_fetch(path)
@@ -328,10 +331,11 @@ def decode(spark: SparkSession, path: str, form: Format | None = None) -> Decode
                         bad.append(first)
                 yield pd.DataFrame({"bad": pd.Series(bad, dtype="int64")})
 
-        refused = {r.bad for r in spark.range(len(parts)).withColumnRenamed("id", "i").repartition(max(1, len(parts)), "i").mapInPandas(check, "bad bigint").collect()} if parts else set()
+        refused = {r.bad for r in spark.range(len(open_parts)).withColumnRenamed("id", "i").repartition(max(1, len(open_parts)), "i").mapInPandas(check, "bad bigint").collect()} if open_parts else set()
         if not refused:
             break
-        rejected.add(min(refused))  # a later refusal may only follow from this one
+        sound = min(refused)
+        rejected.add(sound)  # a later refusal may only follow from this one
 
     def rows(batches):
         import pandas as pd

@@ -1,36 +1,28 @@
-"""Reports of a run as JSON, and files that appear whole or not at all."""
+"""Reports of a run as JSON, and the snapshot folder."""
 
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import DataFrame
 
+from strandlog.sources.files import Folder
 
-def write_atomic(path: str, data: bytes) -> None:
-    """Write beside the target, force to disk, rename, force the folder."""
-    part = f"{path}.{os.getpid()}.part"
-    with open(part, "wb") as f:
-        f.write(data)
-        f.flush()
-        os.fsync(f.fileno())
-    os.replace(part, path)
-    folder = os.open(os.path.dirname(os.path.abspath(path)), os.O_RDONLY)
-    try:
-        os.fsync(folder)
-    finally:
-        os.close(folder)
 
+def recovery_report(structure, compared: DataFrame, withdrawn: DataFrame, missing: DataFrame, tooling: DataFrame, attempts: list[dict] | None = None) -> dict:
+    """What a rebuild found: header, batches with their places, torn ranges, tooling files, comparison with the last manifest per group, pieces not found.
 
-def recovery_report(batches: int, torn: list[dict], compared: DataFrame, withdrawn: DataFrame, missing: DataFrame) -> dict:
-    """What a rebuild found: per-group comparison with the last manifest, counts of withdrawn and of missing pieces.
-
-    compared (group, status) has a row per group; only counts of the rest come to the driver.
+    structure: a walked :class:`strandlog.sources.container.Structure`; compared (group, status) has a row per group;
+    tooling (path, size, sha256) a row per file; of withdrawn keys and missing pieces only counts come to the driver.
     """
     rows = {r[0]: r["status"] for r in compared.collect()}
+    header = structure.header
     return {
-        "batches": batches, "torn": torn, "groups": rows, "allMatch": all(s == "match" for s in rows.values()), "withdrawn": withdrawn.count(), "missing": missing.count(),
+        "header": None if header is None else {"magic": header.magic.decode("ascii", "replace"), "schemaId": header.schema_id, "version": f"{header.major}.{header.minor}", "chainId": header.chain_id, "contract": header.contract.hex()},
+        "batches": [{"batch": b.begin.batch, "firstBlob": b.begin.first_blob, "blobCountAfter": b.blob_count_after, "compressedBytes": b.begin.body_length, "rawBytes": b.begin.raw_length, "hasIndex": bool(b.index_length), "manifestDigest": b.manifest_digest.hex()} for b in structure.batches],
+        "torn": [{"expectedBatch": t.expected_batch, "firstBlob": t.first_blob, "lastBlob": t.last_blob, "reason": t.reason} for t in structure.torn],
+        "deadBlobs": sorted(structure.dead), "tooling": [r.asDict() for r in tooling.orderBy("path").collect()],
+        "groups": rows, "allMatch": all(s == "match" for s in rows.values()), "withdrawn": withdrawn.count(), "missing": missing.count(), "attempts": attempts or [],
     }
 
 
@@ -47,7 +39,8 @@ def snapshot(lines: DataFrame, group: str, order: list[str], payload: str, path:
     """One compressed text file per group under ``path`` and a manifest of their digests and counts beside them."""
     from strandlog.operators.digest import write_groups
 
-    write_groups(lines, group, order, payload, os.path.join(path, "groups"), compression=compression)
+    folder = Folder(lines.sparkSession, path)
+    write_groups(lines, group, order, payload, folder.at("groups"), compression=compression)
     listed = {r[group]: {"sha256": r["sha256"], "lines": r["n_lines"]} for r in digests.collect()}
-    write_atomic(os.path.join(path.removeprefix("file://"), "manifest.json"), to_json({"groups": listed}))
+    folder.put("manifest.json", to_json({"groups": listed}))
     return listed

@@ -8,24 +8,17 @@ its rows published and appends none.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from strandlog.sources.files import Folder
+
 
 class Conflict(RuntimeError):
     """Another writer appended in between."""
 
 
-def _published(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    local = path.removeprefix("file://")
-    if os.path.isdir(local) and any(n.startswith("batch=") for n in os.listdir(local)):
-        return spark.read.schema(schema).parquet(path)
-    return spark.createDataFrame([], schema)
-
-
 def append_new(batch: DataFrame, path: str, key: list[str], expected: int | None = None) -> int:
     """Append the rows of ``batch`` whose keys are not in the log at ``path``; how many.
 
@@ -33,20 +26,20 @@ def append_new(batch: DataFrame, path: str, key: list[str], expected: int | None
     against an older state. Of equal keys in the batch the first by all columns counts.
     """
     spark = batch.sparkSession
-    local = path.removeprefix("file://")
-    have = sorted(int(n[6:]) for n in os.listdir(local) if n.startswith("batch=")) if os.path.isdir(local) else []
+    log = Folder(spark, path)
+    have = sorted(int(n[6:]) for n in log.names() if n.startswith("batch="))
     if expected is not None and len(have) != expected:
         raise Conflict(f"the log has {len(have)} batches and {expected} were expected")
-    known = _published(spark, path, batch.schema)
+    known = spark.read.schema(batch.schema).parquet(path) if have else spark.createDataFrame([], batch.schema)
     first = batch.groupBy(*key).agg(F.min(F.struct(*(c for c in batch.columns if c not in key))).alias("__r")).select(*key, "__r.*").select(*batch.columns)
     new = first.join(known.select(*key), key, "left_anti").persist()
     try:
         n = new.count()
         if n:
             number = (have[-1] + 1) if have else 0
-            staging = os.path.join(local, f"_staging-{number}")
-            new.write.mode("overwrite").parquet(staging)
-            os.rename(staging, os.path.join(local, f"batch={number}"))
+            new.write.mode("overwrite").parquet(log.at(f"_staging-{number}"))
+            if f"batch={number}" in log.names() or not log.move(f"_staging-{number}", f"batch={number}"):
+                raise Conflict(f"another writer appended batch {number}")
     finally:
         new.unpersist()
     return n
@@ -54,7 +47,7 @@ def append_new(batch: DataFrame, path: str, key: list[str], expected: int | None
 
 def run_available(spark: SparkSession, source: str, schema: StructType, path: str, checkpoint: str, key: list[str], condition: str = "true") -> int:
     """Process all landed parquet files of ``source`` that were not processed yet; how many rows were appended."""
-    os.makedirs(path.removeprefix("file://"), exist_ok=True)
+    Folder(spark, path).make()
     added: list[int] = []
 
     def commit(batch: DataFrame, _: int) -> None:

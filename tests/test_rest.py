@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from strandlog import config
 from strandlog.functions import scalars
-from strandlog.sources import blobs, feed, reports
+from strandlog.sources import blobs, container, feed, reports
+from strandlog.sources.files import Folder
 from strandlog.streaming.append import Conflict, append_new, run_available
 
 
@@ -103,10 +104,12 @@ def test_settings(tmp_path, monkeypatch):
 def test_reports(spark, tmp_path):
     compared = spark.createDataFrame([("z", "match"), ("y", "differs")], "organism string, status string")
     none = spark.createDataFrame([], "seq long")
-    r = reports.recovery_report(2, [], compared, none, none)
-    assert not r["allMatch"] and r["missing"] == 0
-    reports.write_atomic(str(tmp_path / "r.json"), reports.to_json(r))
-    assert json.loads((tmp_path / "r.json").read_text()) == r and os.listdir(tmp_path) == ["r.json"]
+    tooling = spark.createDataFrame([("README.md", 3, "ab")], "path string, size long, sha256 string")
+    structure = container.Structure(None, [], [container.Torn(0, 0, 2, "cut")])
+    r = reports.recovery_report(structure, compared, none, none, tooling)
+    assert not r["allMatch"] and r["missing"] == 0 and r["torn"][0]["reason"] == "cut" and r["tooling"][0]["path"] == "README.md"
+    Folder(spark, str(tmp_path)).put("r.json", reports.to_json(r))
+    assert json.loads((tmp_path / "r.json").read_text()) == r and [n for n in os.listdir(tmp_path) if not n.startswith(".")] == ["r.json"]
 
 
 def test_stream_appends_once(spark, tmp_path):
@@ -158,23 +161,52 @@ def test_queries_equal_their_sql(spark):
 def test_commitment(spark, tmp_path):
     from strandlog.sources import commitment as c
 
-    f = c.CommitmentFile(str(tmp_path / "c"))
-    assert f.read() == c.State()
-    s = f.apply("published", lambda x: c.publish(x, 0, ["aa", "bb"], 7, True, "p1"))
-    assert s.piece_count == 2 and s.pointer == "p1" and s.head == c.extend(c.extend(c.ZEROS, ["aa"]), ["bb"]) and f.read() == s
-    for bad in ((0, ["cc"], 7, False), (2, [], 7, False), (2, ["cc"], 0, False), (2, ["cc"], 4097, True), (2, ["cc"], 1, False, "p")):
+    path = str(tmp_path / "c")
+    with pytest.raises(c.Refused):
+        c.CommitmentLog(spark, path, "")
+    log = c.CommitmentLog(spark, path, "ann")
+    assert log.read() == c.State("ann")
+    s = log.apply(c.publish("ann", 0, ["aa", "bb"], 7, True, "p1"))
+    assert s.piece_count == 2 and s.pointer == "p1" and s.head == c.extend(c.extend(c.ZEROS, ["aa"]), ["bb"]) and log.read() == s
+    for refused in (
+        c.publish("ann", 0, ["cc"], 7, False), c.publish("ann", 2, [], 7, False), c.publish("ann", 2, ["cc"], 0, False), c.publish("ann", 2, ["cc"], 4097, True), c.publish("bob", 2, ["cc"], 1, False),
+        c.set_pointer("bob", "x"), c.set_successor("bob", "x"), c.set_successor("ann", ""), c.set_publisher("bob", "bob"), c.set_publisher("ann", ""),
+    ):
         with pytest.raises(c.Refused):
-            f.apply("published", lambda x, bad=bad: c.publish(x, *bad))
-    assert f.read() == s and f.events(spark).count() == 1
-    assert c.set_app_pointer(c.set_app_pointer(s, "a"), "b").app_pointer == "b"
+            log.apply(refused)
+    assert log.read() == s and log.versions() == [0, 1]
+    # within a batch the pointer is left alone; the end of a batch sets it, also to nothing
+    assert log.apply(c.publish("ann", 2, ["cc"], 4096, False, "ignored")).pointer == "p1"
+    assert log.apply(c.set_pointer("ann", "p2")).pointer == "p2"
+    assert log.apply(c.publish("ann", 3, ["dd"], 1, True)).pointer == ""
+    assert log.apply(c.set_successor("ann", "next")).successor == "next"
     with pytest.raises(c.Refused):
-        c.set_successor(c.set_successor(s, "x"), "y")
+        log.apply(c.set_successor("ann", "other"))
+    assert log.apply(c.set_publisher("ann", "bob")).publisher == "bob"
     with pytest.raises(c.Refused):
-        c.set_successor(s, "")
+        log.apply(c.set_pointer("ann", "x"))
+    assert log.read(1) == s and log.read(0).piece_count == 0
+    got = log.events()
+    assert [r.hash for r in got.filter("event = 'piece_published'").orderBy("seq").collect()] == ["aa", "bb", "cc", "dd"]
+    assert [(r.first_seq, r.last_seq, r.last_chunks, r.pointer) for r in got.filter("event = 'batch_committed'").orderBy("version").collect()] == [(0, 1, 7, "p1"), (3, 3, 1, "")]
+    with pytest.raises(c.Refused):  # another writer was first
+        log._write(3, s, [])
+
+
+def test_files(spark, tmp_path):
+    from strandlog.sources.files import Folder
+
+    f = Folder(spark, f"file://{tmp_path}/new")
+    assert f.names() == [] and f.make().read("a") is None
+    f.put("a", b"one")
+    f.put("a", bytes(range(256)))
+    assert f.read("a") == bytes(range(256)) and f.names() == ["a"] and f.move("a", "b") and f.names() == ["b"]
+    f.remove("b")
+    assert f.names() == []
 
 
-def test_paged_scan():
-    from strandlog.sources.commitment import scan_pages
+def test_paged_scan(spark):
+    from strandlog.sources.commitment import event_source, scan_pages
 
     asked = []
 
@@ -182,11 +214,43 @@ def test_paged_scan():
         asked.append((a, b))
         if b - a > 3:
             raise OSError("too many")
-        return [{"seq": 100 - k} for k in range(a, b + 1)]
+        return [{"block": k, "seq": 100 - k, "hash": f"h{k}"} for k in range(a, b + 1)]
 
-    assert [e["seq"] for e in scan_pages(fetch, 0, 20, 16)] == list(range(80, 101)) and asked[0] == (0, 15)
+    assert [e["block"] for e in scan_pages(fetch, 0, 20, 16)] == list(range(21)) and asked[0] == (0, 15) and max(b - a for a, b in asked) <= 15
     with pytest.raises(OSError):
-        scan_pages(lambda a, b: (_ for _ in ()).throw(OSError("down")), 0, 5)
+        list(scan_pages(lambda a, b: (_ for _ in ()).throw(OSError("down")), 0, 5))
+    spark.dataSource.register(event_source(lambda a, b: [{"block": k, "seq": k, "hash": f"h{k}"} for k in range(a, b + 1)]))
+    df = spark.read.format("strandlog-events").option("first", 3).option("last", 40).option("page", 4).option("span", 10).load()
+    assert df.rdd.getNumPartitions() == 4 and [tuple(r) for r in df.orderBy("seq").collect()] == [(k, k, f"h{k}") for k in range(3, 41)]
+    assert spark.read.format("strandlog-events").option("first", 3).option("last", 2).load().count() == 0
+
+
+def test_answers_of_archives():
+    from email.utils import formatdate
+
+    from strandlog.sources import responses as r
+
+    assert r.throttle_wait({"Retry-After": "3"}, 0) == 3.0 and r.throttle_wait({"retry-after": formatdate(1_000_000_003, usegmt=True)}, 1_000_000_000.0) == 3.0
+    assert r.throttle_wait({"x-ratelimit-reset": "32063"}, 0) == 32.063 and r.throttle_wait({"retry-after": "900"}, 0) == 60.0
+    assert r.throttle_wait({}, 0) == 5.0 and r.throttle_wait({"retry-after": "soon"}, 0) == 5.0
+    pages = {"a/eth/v1/beacon/blobs/7": r.Response(500), "b/eth/v1/beacon/blobs/7": r.Response(200, b'{"data": ["0x0102", {"blob": "0x03"}]}')}
+    assert r.SlotSource("s", lambda u: pages.get(u, r.Response(404)), ["a/", "b"], 7).candidates() == [b"\x01\x02", b"\x03"]
+    assert r.SlotSource("s", lambda u: r.Response(404), ["a"], 7).candidates() == []
+    with pytest.raises(r.Failed):
+        r.SlotSource("s", lambda u: pages[u], ["a"], 7).candidates()
+    with pytest.raises(r.Failed):
+        r.listed_pieces(b'{"data": 3}')
+    bodies = {"x": r.Response(200, b'{"result": {"data": "0x0a"}}'), "empty": r.Response(200, b'{"result": {"data": "0x"}}'), "pending": r.Response(200, b'{"result": {"data": null}}'), "down": r.Response(500), "odd": r.Response(200, b"[]")}
+    waits = []
+    make = lambda get: r.NamedSource("n", get, lambda n: None if n == "foreign" else n, r.record_reader("result", "data"), waits.append, lambda: 0.0)
+    s = make(lambda u: bodies.get(u, r.Response(404)))
+    assert s.fetch(["x", "empty", "pending", "absent", "down", "odd", "foreign"]) == {"x": b"\n"} and set(s.errors) == {"down", "odd"}
+    with pytest.raises(r.Failed):
+        s.fetch(["down"])
+    answers = iter([r.Response(429, headers={"x-ratelimit-reset": "1500"}), bodies["x"], r.Response(429), r.Response(429)])
+    t = make(lambda u: next(answers))
+    assert t.fetch(["x", "y", "z"]) == {"x": b"\n"} and waits == [1.5, 5.0] and t.errors == {"y": "throttled", "z": "throttled"}
+    assert r.snapshot_names(b'{"blobs": [{"versionedHash": "0xab", "cid": "c"}, {"versionedHash": "0xcd", "cid": null}]}') == {"ab": "c"} and r.raw_reader(b"") is None
 
 
 def test_progress_and_canonical_column(spark):
