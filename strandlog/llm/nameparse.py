@@ -13,7 +13,6 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _CHUNK = re.compile(r"(?:[^\W\d_](?:\.|\b)[\s-]?)+|\S+")
 _LETTERS = {"ß": "ss", "ø": "o", "æ": "a", "œ": "o", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "ı": "i"}
 _CANON = {v: k for k, vs in INSTITUTION_WORDS.items() for v in (*vs, k)}
-_LONG = [w for w in _CANON if len(w) >= 6]
 _NICKNAMES: dict[str, str] = {}
 _ACRONYMS = re.compile(r"^([A-Z]{2,})-([A-Z]{2,})\b")
 
@@ -27,13 +26,18 @@ def fold(text: str, transliterated: bool = True) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", low) if not unicodedata.combining(c))
 
 
+def _shortened(word: str) -> list[str]:
+    """The word and what is left without one of its letters; words one edit or swap apart share one of these."""
+    return [word, *(word[:i] + word[i + 1 :] for i in range(len(word)))]
+
+
 @lru_cache(maxsize=65536)
 def _institution_word(word: str) -> str | None:
     """The canonical form of a word of institutions, also abbreviated, translated or with one typo."""
     if word in _CANON:
         return _CANON[word]
     if len(word) >= 5:
-        near = [w for w in _LONG if abs(len(w) - len(word)) <= 1 and within_one_edit(word, w)]
+        near = [w for part in _shortened(word) for w in _NEAR.get(part, ()) if within_one_edit(word, w)]
         if near:
             return _CANON[min(near)]
     return None
@@ -44,7 +48,10 @@ _NICKNAMES.update({fold(k): fold(v) for k, v in NICKNAMES.items()})
 GIVEN_NAMES = frozenset(_NICKNAMES.values())
 _CANON_FOLDED = {fold(k): v for k, v in _CANON.items()}
 _CANON.update(_CANON_FOLDED)
-_LONG = [w for w in _CANON if len(w) >= 6]
+_NEAR: dict[str, list[str]] = {}
+for _w in _CANON:
+    for _part in _shortened(_w) if len(_w) >= 6 else ():
+        _NEAR.setdefault(_part, []).append(_w)
 
 
 def _code(words: set[str]) -> str:
@@ -115,8 +122,9 @@ def _given(words: list[str]) -> tuple[str | None, str | None, str | None]:
 
 def _person(surname: list[str], given: list[str]) -> dict:
     full, first, middle = _given(given)
-    core, raw = ("".join(c for c in fold("".join(surname), t) if c.isalpha()) for t in (True, False))
-    return {"core": core, "raw": raw, "given": full, "gate": first or "", "middle": middle, "tokens": [t for t in (fold(w) for s in surname for w in re.split(r"[-\s]", s)) if t]}
+    parts = [w for x in surname for w in re.split(r"[-\s]", x)]
+    tokens, written = ([t for t in ("".join(filter(str.isalpha, fold(w, same))) for w in parts) if t] for same in (True, False))
+    return {"core": "".join(tokens), "raw": " ".join(written), "given": full, "gate": first or "", "middle": middle, "tokens": tokens}
 
 
 def parse_person(name: str) -> tuple[dict | None, dict | None]:

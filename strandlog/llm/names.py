@@ -5,9 +5,10 @@
    "A, B" the reading counts whose given name more names of the corpus begin with.
 2. Equal readings are one form. Forms are blocked by MinHash banding over the padded q-grams of the
    core, within a gate; the number of bands follows from the collision curve at the likeness that one
-   typo leaves. Cores too short for these bands are blocked exactly, by what is left without one letter.
+   typo leaves in a core of that length. Cores of few letters are blocked exactly, by what is left without one letter.
 3. Candidate forms are verified: at most one edit between the cores, and Monge-Elkan likeness of the
-   words of both names, of which one edit is always allowed.
+   words of both names, of which one edit is always allowed. Folded texts are compared with folded words, texts as
+   written with words as written.
 4. Star clustering: the form with most names is a centre and takes its verified neighbours; what is
    left goes on, until nothing is.
 5. Where one cluster still holds several full given or middle names, these part it. Given names one edit
@@ -32,8 +33,10 @@ from pyspark.sql import types as T
 from strandlog.llm import nameparse, similarity
 from strandlog.session import materialize
 
-#: banding: rows a band, and the recall asked of a name of that many letters with its worst typo
-ROWS, RECALL, CORE_LENGTH = 4, 0.998, 8
+#: banding: rows a band, the recall asked of a name with its worst typo, and the letters up to which names are blocked exactly
+ROWS, RECALL, CORE_LENGTH = 3, 0.9999, 8
+#: rounds of star clustering in which weight decides; in what is left a hash does, which ends long chains soon
+RANKED_ROUNDS = 12
 #: letters of the shortest core in which an edit is taken for a typo
 LEAST_LENGTH = 3
 #: least Monge-Elkan likeness of two names of one entity; short words may have less, as one edit is more of them
@@ -77,15 +80,25 @@ def read_names(names: DataFrame) -> DataFrame:
     return with_counts.select("name_id", "kind", F.when(turn, F.col("p.turned")).otherwise(F.col("p.first")).alias("r")).filter("r is not null").select("name_id", "kind", "r.*")
 
 
+def bands_at(length: int, rows: int = ROWS, recall: float = RECALL) -> int:
+    """Bands for a core of a length; a longer one needs fewer, and shares those it has with all shorter ones."""
+    return similarity.bands_for(recall, similarity.typo_jaccard(length), rows)
+
+
 def band_keys(rows: int = ROWS, recall: float = RECALL, length: int = CORE_LENGTH):
-    """UDF (core, salt) -> array<bigint>: one key per band, as many bands as the collision curve asks for."""
-    bands = similarity.bands_for(recall, similarity.typo_jaccard(length), rows)
+    """UDF (core, salt) -> array<bigint>: one key per band, as many bands as the collision curve asks for at the core's length."""
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def keys(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        hasher = similarity.MinHash(rows, bands)
+        hasher = similarity.MinHash(rows, bands_at(length, rows, recall))
+        known: dict[int, int] = {}
         for cores, salts in batches:
-            yield pd.Series([hasher.keys(c, s) for c, s in zip(cores, salts, strict=True)], dtype=object)
+            out = []
+            for c, s in zip(cores, salts, strict=True):
+                if len(c) not in known:
+                    known[len(c)] = bands_at(max(len(c), length), rows, recall)
+                out.append(hasher.keys(c, s, known[len(c)]))
+            yield pd.Series(out, dtype=object)
 
     return keys
 
@@ -100,15 +113,17 @@ def deletion_keys(text: Column, salt: Column) -> Column:
 def _alike(core_a: pd.Series, core_b: pd.Series, tokens_a: pd.Series, tokens_b: pd.Series, parts: pd.Series) -> pd.Series:
     """At most one edit between the texts, and Monge-Elkan over texts and words. Words count where both names have some.
 
-    The least likeness is what one edit in the text leaves, if that is lower; where the words are parts of the
-    text, the edit is in the shortest of them too.
+    Where ``parts`` is set the words are the parts of the text itself, parted by spaces. The least likeness is what one
+    edit in the text leaves, if that is lower; where the words are parts of the text, the edit is in the shortest of them too.
     """
     out = []
     for a, b, ta, tb, part in zip(core_a, core_b, tokens_a, tokens_b, parts, strict=True):
+        wa, wb = ([] if t is None else list(t) for t in (ta, tb))
+        if part:
+            wa, wb, a, b = a.split(" "), b.split(" "), a.replace(" ", ""), b.replace(" ", "")
         if not similarity.within_one_edit(a, b):
             out.append(False)
             continue
-        wa, wb = list(ta) if ta is not None else [], list(tb) if tb is not None else []
         known = bool(wa) and bool(wb)
         one, other = [a, *(wa if known else [])], [b, *(wb if known else [])]
         edit = 1 / min(len(a), len(b)) + (1 / min(map(len, wa + wb)) if known and part else 0)
@@ -122,26 +137,33 @@ def link_forms(forms: DataFrame) -> DataFrame:
 
     A core is blocked as folded and as written with ae, oe, ue, since a typo can make or break these pairs.
     A double surname is blocked whole and by its halves, as one half is often left out; two forms link by
-    a half of one and the whole of the other, never by halves of both.
+    a half of one and the whole of the other, never by halves of both. The words of a person's text are parted by
+    spaces, which do not count in its keys; the words of other texts are those known of both names.
     """
     salt = F.concat_ws("\x01", "kind", "cls", "gate")
-    halves = F.when((F.col("cls") == "person") & (F.size("tokens") == 2), F.filter("tokens", lambda t: (F.length(t) >= 5) & (t != F.col("core")))).otherwise(F.array().cast("array<string>"))
-    wholes = F.array_union(F.array("core"), F.coalesce("raws", F.array().cast("array<string>")))
-    texts = F.concat(F.transform(wholes, lambda t: F.struct(t.alias("text"), F.lit(True).alias("whole"))), F.transform(halves, lambda t: F.struct(t.alias("text"), F.lit(False).alias("whole"))))
-    each = forms.filter(F.length("core") >= LEAST_LENGTH).select("id", salt.alias("salt"), F.inline(texts))
+    person = F.col("cls") == "person"
+    nothing = F.array().cast("array<string>")
+    wholes = F.array_union(F.array(F.when(person, F.array_join("tokens", " ")).otherwise(F.col("core"))), F.coalesce("raws", nothing))
+    halves = F.array_distinct(F.flatten(F.transform(wholes, lambda w: F.when(F.size(F.split(w, " ")) == 2, F.filter(F.split(w, " "), lambda t: F.length(t) >= 5)).otherwise(nothing))))
+    halves = F.when(person, F.array_except(halves, wholes)).otherwise(nothing)
+    texts = F.concat(F.transform(wholes, lambda t: F.struct(t.alias("words"), F.lit(True).alias("whole"))), F.transform(halves, lambda t: F.struct(t.alias("words"), F.lit(False).alias("whole"))))
+    each = forms.filter(F.length("core") >= LEAST_LENGTH).select("id", person.alias("person"), salt.alias("salt"), F.inline(texts))
+    each = each.withColumn("text", F.when(F.col("person"), F.replace(F.col("words"), F.lit(" "), F.lit(""))).otherwise(F.col("words")))
     # texts of just the length are keyed both ways, so those one letter longer or shorter meet them
     long, short = each.filter(F.length("text") >= CORE_LENGTH), each.filter(F.length("text") <= CORE_LENGTH)
-    keyed = long.select("id", "text", "whole", F.explode(band_keys()("text", "salt")).alias("band")).unionByName(
-        short.select("id", "text", "whole", F.explode(deletion_keys(F.col("text"), F.col("salt"))).alias("band"))
-    )
-    side = lambda s: keyed.select("band", F.col("id").alias(s), F.col("text").alias(f"text_{s}"), F.col("whole").alias(f"whole_{s}"))
+    keyed = long.select("id", "words", "text", "whole", F.explode(band_keys()("text", "salt")).alias("band")).unionByName(
+        short.select("id", "words", "text", "whole", F.explode(deletion_keys(F.col("text"), F.col("salt"))).alias("band"))
+    ).select("band", "id", "words", F.when(F.col("text") != F.col("words"), F.col("text")).alias("text"), "whole")
+    side = lambda s: keyed.select("band", F.col("id").alias(s), F.col("words").alias(f"words_{s}"), F.coalesce("text", "words").alias(f"text_{s}"), F.col("whole").alias(f"whole_{s}"))
     near = (F.col("a") < F.col("b")) & (F.col("whole_a") | F.col("whole_b")) & (F.abs(F.length("text_a") - F.length("text_b")) <= 1) & (F.levenshtein("text_a", "text_b", 2) >= 0)
     # the planner sizes the exploded keys by the small table they come from and would broadcast them
-    candidates = side("a").join(side("b").hint("merge"), "band").filter(near).select("a", "b", "text_a", "text_b", (F.col("whole_a") & F.col("whole_b")).alias("whole")).distinct()
+    candidates = side("a").join(side("b").hint("merge"), "band").filter(near).select("a", "b", "words_a", "words_b", (F.col("whole_a") & F.col("whole_b")).alias("whole")).distinct()
     form = lambda s: forms.select(F.col("id").alias(s), F.col("tokens").alias(f"tokens_{s}"), F.struct("kind", "cls", "gate").alias(f"gate_{s}"))
     full = candidates.join(form("a"), "a").join(form("b"), "b").filter("gate_a = gate_b")
-    words = [F.when(F.col("whole"), F.col(f"tokens_{s}")) for s in "ab"]
-    return full.filter(_alike("text_a", "text_b", *words, F.col("gate_a.cls") == "person")).select("a", "b").distinct()
+    of_person = F.col("gate_a.cls") == "person"
+    text = [F.when(of_person & ~F.col("whole"), F.replace(F.col(f"words_{s}"), F.lit(" "), F.lit(""))).otherwise(F.col(f"words_{s}")) for s in "ab"]
+    words = [F.when(~of_person & F.col("whole"), F.col(f"tokens_{s}")) for s in "ab"]
+    return full.filter(_alike(*text, *words, of_person & F.col("whole"))).select("a", "b").distinct()
 
 
 def star_clusters(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -149,16 +171,21 @@ def star_clusters(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
     A vertex ranks by its weight and its number of neighbours (then by the latter alone, then by the lower id):
     typos of one name surround it. It is a centre when no neighbour that is still unassigned ranks higher; it
-    takes its unassigned neighbours, each going to its highest centre. Every round assigns at least the
-    highest vertex of each component of the rest, so the rounds end; typos need two or three.
+    takes its unassigned neighbours, each going to its highest centre. Typos need two or three rounds. A long chain of
+    falling ranks would need as many as it is long: after ``RANKED_ROUNDS`` a vertex ranks by the hash of its id, and
+    the rounds left are few, as their number then grows with the logarithm of what is left.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     degree = both.groupBy("a").agg(F.count(F.lit(1)).alias("degree")).withColumnRenamed("a", "id")
     w = vertices.join(degree, "id").select("id", F.struct((F.col("weight") + F.col("degree")).alias("mass"), "degree").alias("weight"))
     rank = lambda s: F.struct(F.col(f"w_{s}"), -F.col(s))
     rest = materialize(both.join(w.select(F.col("id").alias("a"), F.col("weight").alias("w_a")), "a").join(w.select(F.col("id").alias("b"), F.col("weight").alias("w_b")), "b"))
-    done = None
+    done, rounds = None, 0
     while rest.limit(1).count():
+        rounds += 1
+        if rounds == RANKED_ROUNDS + 1:
+            hashed = lambda s: F.struct(F.xxhash64(F.lit("rank"), s).alias("mass"), F.lit(0).cast("bigint").alias("degree")).alias(f"w_{s}")
+            rest = rest.select("a", "b", hashed("a"), hashed("b"))
         best = rest.groupBy("a", "w_a").agg(F.max(rank("b")).alias("top"))
         centres = best.filter(rank("a") > F.col("top")).select(F.col("a").alias("centre"))
         taken = rest.join(centres.withColumnRenamed("centre", "b"), "b", "left_semi").groupBy("a").agg(F.max_by("b", rank("b")).alias("centre")).select(F.col("a").alias("id"), "centre")

@@ -91,14 +91,16 @@ class MinHash:
         self.fold = rng.integers(1, 2**63, rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.band = rng.integers(0, 2**63, bands, dtype=np.uint64)
 
-    def keys(self, text: str, salt: str = "") -> np.ndarray:
-        """int64 keys, one per band; texts with different salts share none (but by chance of 64 bits)."""
+    def keys(self, text: str, salt: str = "", bands: int | None = None) -> np.ndarray:
+        """int64 keys of the first ``bands`` bands; texts with different salts share none (but by chance of 64 bits)."""
+        bands = self.bands if bands is None else min(bands, self.bands)
+        n = bands * self.rows
         grams = np.array([zlib.crc32(g.encode()) for g in qgrams(text, self.q)], dtype=np.uint64)
         with np.errstate(over="ignore"):
             x = grams * np.uint64(0x9E3779B97F4A7C15)
             x ^= x >> np.uint64(29)
-            low = (x[:, None] * self.a + self.b).min(axis=0).reshape(self.bands, self.rows)
-            key = (((low ^ (low >> np.uint64(31))) * self.fold).sum(axis=1, dtype=np.uint64)) ^ self.band
+            low = (x[:, None] * self.a[:n] + self.b[:n]).min(axis=0).reshape(bands, self.rows)
+            key = (((low ^ (low >> np.uint64(31))) * self.fold).sum(axis=1, dtype=np.uint64)) ^ self.band[:bands]
             key = (key + np.uint64(zlib.crc32(salt.encode()))) * np.uint64(0xD6E8FEB86659FD93)
             key ^= key >> np.uint64(32)
         return key.view(np.int64)
