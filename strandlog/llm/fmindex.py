@@ -12,17 +12,19 @@ import numpy as np
 def suffix_array(seq: np.ndarray) -> np.ndarray:
     """Positions of the suffixes of ``seq`` in order; a suffix that ends sorts before any longer one.
 
-    Prefix doubling from packed groups of four symbols; only suffixes that are not yet alone with their
-    prefix are sorted again.
+    Prefix doubling from groups of as many symbols as fit 64 bits; only suffixes that are not yet alone with
+    their prefix are sorted again.
     """
     n = len(seq)
     if n == 0:
         return np.zeros(0, dtype=np.int64)
-    s = np.zeros(n + 4, dtype=np.uint64)
+    bits = max(1, int(seq.max()) + 1).bit_length()
+    h = 64 // bits
+    s = np.zeros(n + h, dtype=np.uint64)
     s[:n] = seq.astype(np.uint64) + np.uint64(1)
-    if int(s.max()) >= 1 << 16:
-        raise ValueError("symbols must be less than 65535")
-    packed = (s[:n] << np.uint64(48)) | (s[1 : n + 1] << np.uint64(32)) | (s[2 : n + 2] << np.uint64(16)) | s[3 : n + 3]
+    packed = s[:n].copy()
+    for k in range(1, h):
+        packed = (packed << np.uint64(bits)) | s[k : n + k]
     sa = np.argsort(packed, kind="stable").astype(np.int64)
     ordered = packed[sa]
     starts = np.ones(n, dtype=bool)
@@ -30,7 +32,6 @@ def suffix_array(seq: np.ndarray) -> np.ndarray:
     rank = np.empty(n + 1, dtype=np.int64)
     rank[n] = -1
     rank[sa] = np.maximum.accumulate(np.where(starts, np.arange(n), 0))
-    h = 4
     while True:
         nxt = np.ones(n + 1, dtype=bool)
         nxt[:n] = starts

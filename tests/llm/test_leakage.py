@@ -108,6 +108,52 @@ def test_bounds_and_empty_tables(spark, monkeypatch):
     one = docs_table(spark, [("a", None)])
     assert leakage.leaked_items(one.limit(0), items_table(spark, [(1, " ".join(WORDS), None)])).count() == 0
     assert leakage.leaked_items(one.drop("layout"), items_table(spark, [(1, " ".join(WORDS), None)])).count() == 0
-    monkeypatch.setattr(leakage, "MAX_ITEMS", 1)
-    with pytest.raises(ValueError):
-        leakage.leaked_items(one, items_table(spark, [(1, "a", None), (2, "b", None)]))
+
+
+def test_blocks_of_items_give_the_same(spark, monkeypatch):
+    rng = random.Random(9)
+    items = [(i, " ".join(rng.choices(WORDS, k=30)), None) for i in range(40)]
+    docs = [(" ".join(rng.choices(WORDS, k=8)) + " " + q + " tail", None) for _, q, _ in items]
+    whole = found(spark, docs, items)
+    monkeypatch.setattr(leakage, "BLOCK_CHARS", 1000)
+    assert found(spark, docs, items) == whole == {(i, i) for i in range(40)}
+
+
+def test_many_distinct_words_of_items_and_documents():
+    """More words than 16 bits hold, in the items and in a shard."""
+    import pandas as pd
+
+    words = [f"x{i}y" for i in range(160_000)]
+    items = leakage.ItemPhrases([(i, " ".join(words[20 * i : 20 * i + 20])) for i in range(4000)])
+    assert len(items.code) == 80_000
+    texts = [" ".join(words[20 * i : 20 * i + 20]) for i in (0, 1777, 3999, 5000)] + [" ".join(words)]
+    got = pd.concat(leakage._search(items, False)(iter([pd.DataFrame({"doc_id": range(5), "text": texts})])))
+    assert {(r.doc_id, r.item_id) for r in got.itertuples()} == {(0, 0), (1, 1777), (2, 3999)} | {(4, i) for i in range(4000)}
+
+
+def test_items_that_share_an_opening():
+    """A phrase of 5,000 items costs an occurrence only the items that go on like it."""
+    import time
+
+    import pandas as pd
+
+    rng = random.Random(4)
+    opening = WORDS[:9]
+    tails = [[f"t{rng.randrange(300)}" for _ in range(20)] for _ in range(5000)]
+    items = leakage.ItemPhrases([(i, " ".join(opening + t)) for i, t in enumerate(tails)])
+    texts = [" ".join(opening + tails[i]) if i % 10 == 0 else " ".join(opening + rng.choices(WORDS, k=20)) for i in range(2000)]
+    began = time.time()
+    got = pd.concat(leakage._search(items, False)(iter([pd.DataFrame({"doc_id": range(2000), "text": texts})])))
+    assert {(r.doc_id, r.item_id) for r in got.itertuples()} == {(i, i) for i in range(0, 2000, 10)} and time.time() - began < 20
+
+
+def test_passages_across_cells_left_out(spark):
+    """Code between prose cells, and output between code cells, part no passage, however many there are."""
+    q = " ".join(WORDS[10:40])
+    w = q.split()
+    code = {"cell_type": "code", "source": "frame = read(path)", "outputs": [{"text": "12 rows were read"}]}
+    prose = json.dumps({"cells": [c for k in range(0, 30, 5) for c in ({"cell_type": "markdown", "source": " ".join(w[k : k + 5])}, code)]})
+    comments = json.dumps({"cells": [{"cell_type": "code", "source": "# " + " ".join(w[k : k + 10]), "outputs": [{"text": "12"}]} for k in (0, 10, 20)]})
+    assert found(spark, [(prose, "ipynb"), (comments, "ipynb"), (json.dumps({"cells": [code] * 3}), "ipynb")], [(1, q, None)]) == {(0, 1), (1, 1)}
+    spans = sorted(tuple(r) for r in leakage.removal_spans(docs_table(spark, [(prose, "ipynb"), (comments, "ipynb")]), items_table(spark, [(1, q, None)])).collect())
+    assert spans == [(0, 1, 1, 0, 29), (1, 1, 2, 0, 29)]
