@@ -1,4 +1,4 @@
-"""SQL equivalents of the queries p1_ to p5_ that SQL can express."""
+"""SQL equivalents of the queries p1_, p2_ and p5_ that SQL can express."""
 
 from __future__ import annotations
 
@@ -115,7 +115,46 @@ P2_PROFILE = f"""with {_CELLS}, curves as (
 select mirror, load_no, load_id, column_name, n_rows, n_null, n_placeholder, n_pattern, n_range, n_good, n_distinct, low, high, round(median, 6) as median, round(ks, 9) as ks
 from pairs left join ks using (load_id, column_name)"""
 
+_DRIFT = """
+with recursive parsed as (
+  select line_id, mirror, organism, file_no, line->'$.metadata' as m from feed_lines
+  where case when json_valid(line) then json_type(line, '$.metadata') = 'OBJECT' else false end and mirror is not null and organism is not null and file_no is not null),
+kv as (
+  select line_id, mirror, organism, file_no, accession, e.key as field, e.value as v, case coalesce(json_type(e.value), 'NULL') when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'ARRAY' then 'array' when 'OBJECT' then 'object' when 'NULL' then null else 'number' end as t
+  from (select line_id, mirror, organism, file_no, m->>'$.accession' as accession, unnest(map_entries(cast(m as map(varchar, json)))) as e from parsed)),
+schemas as (select mirror, organism, file_no, field, coalesce(array_to_string(list_sort(list(distinct t) filter (where t is not null)), ','), '') as types from kv group by all),
+files as (select distinct mirror, organism, file_no from schemas),
+gone as (select s.mirror, s.organism, s.file_no + 1 as file_no, s.field from schemas s join files f on f.mirror = s.mirror and f.organism = s.organism and f.file_no = s.file_no + 1
+  where not exists (select 1 from schemas n where n.mirror = s.mirror and n.organism = s.organism and n.file_no = s.file_no + 1 and n.field = s.field)),
+came as (select s.mirror, s.organism, s.file_no, s.field from schemas s join files f on f.mirror = s.mirror and f.organism = s.organism and f.file_no = s.file_no - 1
+  where not exists (select 1 from schemas n where n.mirror = s.mirror and n.organism = s.organism and n.file_no = s.file_no - 1 and n.field = s.field)),
+vals as (select mirror, organism, file_no, accession, field, max(case when t is null then null when t = 'string' then v->>'$' else cast(v as varchar) end) as v from kv where accession is not null group by all),
+gv as (select g.mirror, g.organism, g.file_no, g.field, v.accession, v.v from gone g join vals v on v.mirror = g.mirror and v.organism = g.organism and v.file_no = g.file_no - 1 and v.field = g.field),
+cv as (select c.mirror, c.organism, c.file_no, c.field, v.accession, v.v from came c join vals v on v.mirror = c.mirror and v.organism = c.organism and v.file_no = c.file_no and v.field = c.field),
+renamed as (select gv.mirror, gv.organism, gv.file_no, gv.field as was, cv.field as field from gv join cv on gv.mirror = cv.mirror and gv.organism = cv.organism and gv.file_no = cv.file_no and gv.accession = cv.accession
+  group by all having count(*) filter (where gv.v = cv.v) >= 0.9 * count(*) filter (where gv.v is not null or cv.v is not null) and count(*) filter (where gv.v is not null or cv.v is not null) > 0),
+names as (select s.mirror, s.organism, s.file_no, s.field, s.types, coalesce(r.was, p.field) as was from schemas s
+  left join renamed r on r.mirror = s.mirror and r.organism = s.organism and r.file_no = s.file_no and r.field = s.field
+  left join schemas p on p.mirror = s.mirror and p.organism = s.organism and p.file_no = s.file_no - 1 and p.field = s.field),
+walk as (
+  select mirror, organism, file_no, field, was, types, types as last, null::varchar as earlier, field as origin from names where was is null
+  union all
+  select n.mirror, n.organism, n.file_no, n.field, n.was, n.types, case when n.types = '' then w.last else n.types end, w.last, w.origin
+  from walk w join names n on n.mirror = w.mirror and n.organism = w.organism and n.file_no = w.file_no + 1 and n.was = w.field)"""
+
+P5_FOUND = _DRIFT + """
+select mirror, organism, file_no::bigint as file_no, was as field, 'renamed' as change, field as new_field from renamed
+union all select mirror, organism, file_no::bigint, field, 'removed', field from gone g where not exists (select 1 from renamed r where r.mirror = g.mirror and r.organism = g.organism and r.file_no = g.file_no and r.was = g.field)
+union all select mirror, organism, file_no::bigint, field, 'added', field from came c where not exists (select 1 from renamed r where r.mirror = c.mirror and r.organism = c.organism and r.file_no = c.file_no and r.field = c.field)
+union all select mirror, organism, file_no::bigint, was, 'type_changed', field from walk where types <> '' and earlier <> '' and types <> earlier"""
+
+P5_UNITED = _DRIFT + r"""
+select kv.mirror, kv.organism, kv.file_no, kv.line_id, kv.accession, w.origin as field, case t when 'string' then v->>'$' else regexp_replace(case t
+  when 'object' then '{' || (select string_agg(to_json(e.key)::varchar || ':' || e.value::varchar, ',' order by e.key) from (select unnest(map_entries(try_cast(v as map(varchar, json)))) as e)) || '}'
+  else v::varchar end, '([0-9])[.]0+([,}\]]|$)', '\1\2', 'g') end as value
+from kv join walk w on w.mirror = kv.mirror and w.organism = kv.organism and w.file_no = kv.file_no and w.field = kv.field where t is not null"""
+
 ORACLE = {
     "p1_found": P1_FOUND, "p1_records": P1_RECORDS, "p1_sequences": P1_SEQUENCES, "p1_insertions": P1_INSERTIONS,
-    "p2_found": P2_FOUND, "p2_profile": P2_PROFILE,
+    "p2_found": P2_FOUND, "p2_profile": P2_PROFILE, "p5_found": P5_FOUND, "p5_united": P5_UNITED,
 }

@@ -61,9 +61,53 @@ def test_united_table_follows_renames(spark):
     assert got == [(1, "accession", "A"), (1, "clade", "c1"), (2, "accession", "A"), (2, "clade", "c1"), (2, "n", '{"k":2}')]
 
 
+def plain_schema(**more):
+    return {f"k{i}Name": ("string",) for i in range(8)} | more
+
+
 def test_flooding_prefers_structure_over_chance():
-    old = {"authorList": ("string",), "hostAge": ("number",), "same": ("string",)}
-    new = {"authors": ("string",), "age": ("number",), "same": ("string",)}
-    scores = drift.flood(old, new, {})
-    assert dict(drift.select_matches(scores)) == {"same": "same", "authorList": "authors", "hostAge": "age"}
-    assert drift.flood({}, new, {}) == {} and max(scores.values()) <= 1.0
+    old = plain_schema(authorList=("string",), hostAge=("number",))
+    new = plain_schema(authors=("string",), age=("number",))
+    pairs = [("authorList", "authors"), ("hostAge", "age"), ("authorList", "age"), ("hostAge", "authors")]
+    # all four pairs carry equal values: names and types decide
+    assert drift.renames(old, new, dict.fromkeys(pairs, 1.0)) == {"authors": "authorList", "age": "hostAge"}
+    assert drift.renames(old, new, {}) == {} and drift.flood({}, {}, {}) == {} and max(drift.flood(old, new, {}).values()) <= 1.0
+
+
+def test_scores_flow_until_they_decide():
+    """Without flooding a pair of fields knows only its names; neither the share of equal values nor likeness decides alone."""
+    old, new = plain_schema(clade=("string",)), plain_schema(lineage=("string",))
+    pair = ("clade", "lineage")
+    assert drift.renames(old, new, {pair: 1.0}) == {"lineage": "clade"} and drift.renames(old, new, {pair: 0.6}) == {}
+    still = drift.flood(old, new, {pair: 1.0}, rounds=0)
+    assert still[pair] < 0.05 and (pair in drift.select_matches(drift.flood(old, new, {pair: 1.0})))
+    alike, other = plain_schema(subclade=("string",)), plain_schema(subclade=("number",))
+    assert drift.renames(old, alike, {("clade", "subclade"): 0.8}) == {"subclade": "clade"} and drift.renames(old, new, {pair: 0.8}) == {}
+    assert drift.renames(old, other, {("clade", "subclade"): 0.8}) == {}  # the types do not support it
+
+
+def test_inner_keys_support_their_objects(spark):
+    """An object whose inner keys drift is equal nowhere as a whole, yet its inner values flow up to it."""
+    files = {
+        1: [{"accession": f"A{i}", "place": {"name": f"n{i}", "code": i, "by": "x"}} for i in range(10)],
+        2: [{"accession": f"A{i}", "site": {"title": f"n{i}", "code": i, "by": "x"}} for i in range(10)],
+        3: [{"accession": f"A{i}", "other": {"title": f"z{i}", "code": -i, "by": "x"}} for i in range(10)],
+    }
+    files[3][0]["other"]["code"] = 77
+    assert changes(lines(spark, files)) == [(2, "place", "renamed", "site"), (3, "other", "added", "other"), (3, "site", "removed", "site")]
+
+
+def test_renamed_and_retyped_at_once(spark):
+    files = {1: [{"accession": f"A{i}", "hostAge": i, "k": "x"} for i in range(10)], 2: [{"accession": f"A{i}", "age": str(i), "k": "x"} for i in range(10)]}
+    assert changes(lines(spark, files)) == [(2, "hostAge", "renamed", "age"), (2, "hostAge", "type_changed", "age")]
+
+
+def test_feeds_across_batches(spark):
+    """A feed whose rows reach the task in several batches is one feed."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        files = {n: [{"accession": "A", f"f{n}": f"v{n}", "x": n}] for n in range(1, 9)}
+        got = changes(lines(spark, files).unionByName(lines(spark, {1: [{"a": 1}], 2: [{"b": 1}]}, mirror="other")))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len([c for c in got if c[1].startswith("f") and c[2] == "added"]) == 7 and (2, "b", "added", "b") in got
