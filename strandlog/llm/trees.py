@@ -70,20 +70,20 @@ def _grow(bins: np.ndarray, cuts: list[np.ndarray], y: np.ndarray, w: np.ndarray
 
 
 class BaggedTrees:
-    """The mean of trees grown on bootstrap samples, the classes weighted alike."""
+    """The mean of trees grown on bootstrap samples; positives weigh at least the share ``balance`` of all."""
 
     def __init__(self, trees: list[Tree]) -> None:
         self.trees = trees
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, n_trees: int = 15, depth: int = 7, leaf: float = 3.0, seed: int = 1) -> BaggedTrees:
+    def fit(cls, x: np.ndarray, y: np.ndarray, n_trees: int = 15, depth: int = 7, leaf: float = 3.0, seed: int = 1, share: float = 0.6, balance: float = 0.5) -> BaggedTrees:
         rng = np.random.default_rng(seed)
         y = y.astype(float)
         cuts = [np.unique(np.quantile(c, np.linspace(0, 1, 34)[1:-1])) for c in x.T]
         bins = np.stack([np.searchsorted(c, v, side="left") for c, v in zip(cuts, x.T, strict=True)], axis=1)
-        share = y.mean() if len(y) else 0.0
-        weight = np.where(y > 0, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9))
-        tried = max(1, int(round(x.shape[1] * 0.6)))
+        positive = y.mean() if len(y) else 0.0
+        weight = np.where(y > 0, max(balance, positive) / max(positive, 1e-9), min(1 - balance, 1 - positive) / max(1 - positive, 1e-9))
+        tried = max(1, int(round(x.shape[1] * share)))
         trees = []
         for _ in range(n_trees):
             times = np.bincount(rng.integers(0, len(y), len(y)), minlength=len(y))

@@ -3,6 +3,8 @@
 import random
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from strandlog.llm import spam
 from strandlog.llm.trees import BaggedTrees
@@ -69,14 +71,45 @@ def test_nulls_empty_repeats(spark):
 
 def test_without_both_labels_the_weak_ones_decide(spark):
     df = spark.createDataFrame([(1, link_text(random.Random(1)), None, None, None)], COLUMNS)
-    assert spam.fit(spam.measured(df)) is None and [r.doc_id for r in spam.spam_pages(df).collect()] == [1]
+    with pytest.warns(UserWarning, match="one kind"):
+        assert spam.fit(spam.labelled_sample(spam.measured(df)).toPandas()) is None
+    with pytest.warns(UserWarning, match="one kind"):
+        assert [r.doc_id for r in spam.spam_pages(df).collect()] == [1]
     assert spam.spam_pages(df.select("doc_id", "text")).count() == 1
 
 
-def test_host_rate_only_tips_the_scale(spark):
-    rows, _ = corpus(random.Random(4))
-    scored = spam.page_scores(spark.createDataFrame(rows, COLUMNS))
-    assert scored.filter("abs(score - own) > 0.0500001").count() == 0
+def test_trees_find_a_kind_of_list_that_no_rule_names(spark, monkeypatch):
+    """Keywords that never repeat have no rule: the trees find the pages, the rules alone none."""
+    rng = random.Random(6)
+    rows, expected = corpus(rng)
+    letters = "bcdfghklmnprstv"
+    word = lambda: "".join(rng.choice(letters) + rng.choice("aeiou") for _ in range(rng.randint(2, 4)))
+    for i in range(1000, 1012):
+        text = ", ".join(f"{word()} {word()}" for _ in range(50))
+        assert spam.weak_label("markdown", text, spam.features("markdown", text)) == -1
+        rows.append((i, text, "console", f"own{i % 17}/r{i}", True))
+    df = spark.createDataFrame(rows, COLUMNS)
+    got = {r.doc_id for r in spam.spam_pages(df).collect()}
+    assert {i for i in got if i < 1000} == expected and len([i for i in got if i >= 1000]) >= 10
+    monkeypatch.setattr(spam, "fit", lambda rows: None)
+    assert {r.doc_id for r in spam.spam_pages(df).collect()} == expected
+
+
+def test_host_rates_turn_doubtful_pages_only(spark):
+    """Doubtful pages follow their host by a weight that labelled segments teach; sure pages stay."""
+    rows = [(i, "bad", 100, 100, [100], [4.0]) for i in range(30)] + [(100 + i, "good", 100, 0, [100], [-4.0]) for i in range(300)]
+    rows += [(500, "bad", 100, 0, [100], [-0.5]), (501, "good", 100, 100, [100], [0.5]), (502, "bad", 100, 0, [100], [-4.0]), (503, "good", 100, 100, [100], [4.0])]
+    df = spark.createDataFrame(rows, "doc_id long, host string, n_chars long, list_chars long, sizes array<int>, logits array<float>").withColumn("own", F.col("list_chars") / F.col("n_chars"))
+    shifted = spam.host_shifts(df)
+    rng = np.random.default_rng(1)
+    shift = np.where(rng.random(4000) < 0.5, 4.0, -1.5)
+    label = (rng.random(4000) < 1 / (1 + np.exp(-0.7 * shift))).astype(int)
+    weight = spam.fit_host_weight(np.zeros(4000), shift, label)
+    assert 0.5 < weight < 0.8 and spam.fit_host_weight(np.zeros(4000), rng.permutation(shift), label) < 0.1
+    score = {r.doc_id: r.score for r in spam.smoothed(shifted, weight).collect()}
+    assert (score[500], score[501], score[502], score[503]) == (1.0, 0.0, 0.0, 1.0)
+    none = {r.doc_id: r.score for r in spam.smoothed(shifted, 0.0).collect()}
+    assert (none[500], none[501]) == (0.0, 1.0) and len(score) == len(rows)
 
 
 def test_trees_learn_held_out_rows():
