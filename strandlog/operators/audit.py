@@ -10,22 +10,17 @@ SLOT_SECONDS = 12
 RETENTION_SLOTS = 4096 * 32
 #: pieces asked for at once from a source that is looked up by hash
 HASH_BATCH = 24
-#: more sources than this are refused, as their names become part of the plan
-MAX_SOURCES = 1000
 
 
 def availability(sources: DataFrame, refs: DataFrame, found: DataFrame) -> DataFrame:
     """source, seq, outcome for every source and piece: verified, corrupt, error or missing.
 
     sources: source; refs: seq; found: source, seq, outcome with at most a few rows per pair. Every source is asked
-    for every piece, so the result has sources x pieces rows by definition. The sources are configured by hand: their
-    names, at most ``MAX_SOURCES``, are put into the plan as an array that each piece explodes.
+    for every piece, so the result has sources x pieces rows by definition: the names are one array, a scalar subquery,
+    that each piece explodes.
     """
-    names = [r.source for r in sources.select("source").filter("source is not null").distinct().limit(MAX_SOURCES + 1).collect()]
-    if len(names) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    each = F.array(*(F.lit(n) for n in sorted(names))) if names else F.array().cast("array<string>")
-    pairs = refs.select("seq", F.explode(each).alias("source"))
+    names = sources.filter("source is not null").agg(F.sort_array(F.collect_set("source")).alias("names"))
+    pairs = refs.select("seq", F.explode(names.scalar()).alias("source"))
     best = found.groupBy("source", "seq").agg(F.min(F.when(F.col("outcome") == "verified", 0).when(F.col("outcome") == "corrupt", 1).otherwise(2)).alias("r"))
     outcome = F.when(F.col("r") == 0, "verified").when(F.col("r") == 1, "corrupt").when(F.col("r") == 2, "error").otherwise("missing")
     return pairs.join(best, ["source", "seq"], "left").select("source", "seq", outcome.alias("outcome"))

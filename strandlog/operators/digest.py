@@ -17,50 +17,79 @@ from pyspark.sql import functions as F
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
-def _stream_digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(group, line) sorted by group to (group, n_lines, sha256); each line ends with a newline."""
-    group, h, n = None, None, 0
-    for b in batches:
-        rows = []
-        for g, line in zip(b["g"], b["line"], strict=True):
-            if h is None or g != group:
-                if h is not None:
-                    rows.append((group, n, h.hexdigest()))
-                group, h, n = g, hashlib.sha256(), 0
-            h.update((line or "").encode())
-            h.update(b"\n")
-            n += 1
-        if rows:
-            yield pd.DataFrame(rows, columns=["g", "n_lines", "sha256"])
-    if h is not None:
-        yield pd.DataFrame([(group, n, h.hexdigest())], columns=["g", "n_lines", "sha256"])
+class _Whole:
+    """SHA-256 of lines, each with a newline behind it."""
+
+    def __init__(self, seed: str) -> None:
+        self.h = hashlib.sha256()
+
+    def add(self, line: str) -> None:
+        self.h.update(line.encode())
+        self.h.update(b"\n")
+
+    def value(self) -> str:
+        return self.h.hexdigest()
+
+
+class _Chain:
+    """h = SHA-256(hex(h) || line), from a seed."""
+
+    def __init__(self, seed: str) -> None:
+        self.head = seed
+
+    def add(self, line: str) -> None:
+        self.head = hashlib.sha256((self.head + line).encode()).hexdigest()
+
+    def value(self) -> str:
+        return self.head
+
+
+def _streamed(kind: type, seed: str = ""):
+    """mapInPandas function: (group, line), the lines of a group one after the other, to (group, n_lines, digest)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, state, n = None, None, 0
+        for b in batches:
+            rows = []
+            for g, line in zip(b["g"], b["line"], strict=True):
+                if state is None or g != group:
+                    if state is not None:
+                        rows.append((group, n, state.value()))
+                    group, state, n = g, kind(seed), 0
+                state.add(line or "")
+                n += 1
+            if rows:
+                yield pd.DataFrame(rows, columns=["g", "n_lines", "digest"])
+        if state is not None:
+            yield pd.DataFrame([(group, n, state.value())], columns=["g", "n_lines", "digest"])
+
+    return run
+
+
+def _per_group(lines: DataFrame, group: str, order: list[str], payload: str, step) -> DataFrame:
+    """g, n_lines, digest of each group's sorted lines. A group lies in one partition, sorted with spill, and no task holds more than a batch of it."""
+    g = F.coalesce(F.col(group).cast("string"), F.lit(""))
+    keyed = lines.select(g.alias("g"), *(F.col(c).alias(f"__o{i}") for i, c in enumerate(order)), F.col(payload).alias("line"))
+    placed = keyed.repartition("g").sortWithinPartitions("g", *(f"__o{i}" for i in range(len(order)))).select("g", "line")
+    return placed.mapInPandas(step, "g string, n_lines bigint, digest string")
 
 
 def group_digests(lines: DataFrame, group: str, order: list[str], payload: str, groups: DataFrame | None = None) -> DataFrame:
     """group, n_lines, sha256 of the sorted lines of each group. groups: names that are listed even without lines.
 
-    A group lies in one partition, as its digest is one sequential pass; different groups run side by side.
+    A group lies in one partition, as its digest is one sequential pass; different groups run side by side. Null groups are one group.
     """
-    g = F.coalesce(F.col(group).cast("string"), F.lit(""))
-    sorted_lines = lines.select(g.alias("g"), *(F.col(c).alias(f"__o{i}") for i, c in enumerate(order)), F.col(payload).alias("line"))
-    keys = [f"__o{i}" for i in range(len(order))]
-    placed = sorted_lines.repartition("g").sortWithinPartitions("g", *keys).select("g", "line")
-    digests = placed.mapInPandas(_stream_digest, "g string, n_lines bigint, sha256 string")
+    digests = _per_group(lines, group, order, payload, _streamed(_Whole))
     if groups is not None:
         digests = groups.select(F.coalesce(F.col(group).cast("string"), F.lit("")).alias("g")).distinct().join(digests, "g", "left")
-    return digests.select(F.col("g").alias(group), F.coalesce("n_lines", F.lit(0)).cast("bigint").alias("n_lines"), F.coalesce("sha256", F.lit(EMPTY)).alias("sha256"))
-
-
-def small_group_digest(payload: Column, *order: Column) -> Column:
-    """Aggregate: SHA-256 of a group's sorted lines in the JVM, for groups that fit one string (a batch's records, a manifest)."""
-    rows = F.array_sort(F.collect_list(F.struct(*order, payload.alias("__line"))))
-    return F.sha2(F.array_join(F.transform(rows, lambda r: F.concat(r["__line"], F.lit("\n"))), ""), 256)
+    name = F.col("g").cast(lines.schema[group].dataType)
+    return digests.select(name.alias(group), F.coalesce("n_lines", F.lit(0)).cast("bigint").alias("n_lines"), F.coalesce("digest", F.lit(EMPTY)).alias("sha256"))
 
 
-def hash_chain(seed: str, order: Column, link: Column) -> Column:
-    """Aggregate: h = SHA-256(hex(h) || link) over the links in order, from ``seed``. For groups that fit an array."""
-    links = F.array_sort(F.collect_list(F.struct(order.alias("k"), link.alias("x"))))
-    return F.aggregate(links, F.lit(seed), lambda h, s: F.sha2(F.concat(h, s["x"]), 256))
+def chain_heads(lines: DataFrame, group: str, order: list[str], link: str, seed: str) -> DataFrame:
+    """group, n, head: h = SHA-256(hex(h) || link) over the links of each group in order, from ``seed``; streamed like :func:`group_digests`."""
+    heads = _per_group(lines, group, order, link, _streamed(_Chain, seed))
+    return heads.select(F.col("g").cast(lines.schema[group].dataType).alias(group), F.col("n_lines").alias("n"), F.col("digest").alias("head"))
 
 
 def contiguous(seq: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,19 +69,21 @@ def compare_manifest(stated: DataFrame, computed: DataFrame, key: str, values: l
 def index_batches(batches: DataFrame, size: str, threshold: int = INDEX_THRESHOLD) -> DataFrame:
     """batch, size, since_index, has_index: an index is due when the sizes since the last one reach the threshold.
 
-    The running sum starts again after each index, so it is a fold over the batches in order (one row each).
+    The running sum starts again after each index, so it is one pass over the batches in order (one small row each); null sizes count as 0.
     """
-    rows = batches.select("batch", F.col(size).cast("bigint").alias("size"))
-    ordered = rows.agg(F.array_sort(F.collect_list(F.struct("batch", "size"))).alias("b"))
-    start = F.struct(F.lit(0).cast("bigint").alias("sum"), F.array().cast("array<struct<batch:bigint,size:bigint,since_index:bigint,has_index:boolean>>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        total = acc["sum"] + x["size"]
-        due = total >= threshold
-        row = F.struct(x["batch"].alias("batch"), x["size"].alias("size"), total.alias("since_index"), due.alias("has_index"))
-        return F.struct(F.when(due, F.lit(0)).otherwise(total).cast("bigint").alias("sum"), F.concat(acc["out"], F.array(row)).alias("out"))
+    def place(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = 0
+        for b in parts:
+            since = []
+            for n in b["size"]:
+                total += int(n)
+                since.append(total)
+                total = 0 if total >= threshold else total
+            yield pd.DataFrame({"batch": b["batch"], "size": b["size"], "since_index": since, "has_index": [x >= threshold for x in since]})
 
-    return ordered.select(F.inline(F.aggregate("b", start, step, lambda acc: acc["out"])))
+    rows = batches.filter("batch is not null").select(F.col("batch").cast("bigint"), F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("size"))
+    return rows.repartition(1).sortWithinPartitions("batch").mapInPandas(place, "batch bigint, size bigint, since_index bigint, has_index boolean")
 
 
 def bytes_since_index(batches: DataFrame) -> DataFrame:
@@ -99,22 +104,25 @@ def schema_drift(entries: DataFrame, shape: Column) -> DataFrame:
     """organism, batch, shape: the shape records a writer emits: in a batch whose last deviating entry differs from what is published.
 
     Within a batch the last entry by ordinal counts among those that differ from the shape published before;
-    the walk along an organism's batches is a fold over its distinct (batch, shape) rows.
+    the walk along an organism's batches is one pass over its distinct (batch, shape) rows. Null organisms are one.
     """
     rows = entries.select("organism", "batch", "ordinal", shape.alias("shape"))
     last = rows.groupBy("organism", "batch", "shape").agg(F.max("ordinal").alias("ordinal"))
-    per = last.groupBy("organism").agg(F.array_sort(F.collect_list(F.struct("batch", "ordinal", "shape"))).alias("s"))
-    kind = "array<struct<batch:bigint,shape:string>>"
-    start = F.struct(F.lit(None).cast("string").alias("published"), F.lit(None).cast("bigint").alias("at"), F.lit(None).cast("string").alias("pending"), F.array().cast(kind).alias("out"))
-
-    def flush(acc: Column) -> Column:
-        emit = acc["pending"].isNotNull()
-        out = F.when(emit, F.concat(acc["out"], F.array(F.struct(acc["at"].alias("batch"), acc["pending"].alias("shape"))))).otherwise(acc["out"])
-        return F.struct(F.when(emit, acc["pending"]).otherwise(acc["published"]).alias("published"), acc["at"].alias("at"), F.lit(None).cast("string").alias("pending"), out.alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        cur = F.when(acc["at"].isNull() | (acc["at"] == x["batch"]), acc).otherwise(flush(acc))
-        differs = ~x["shape"].eqNullSafe(cur["published"])
-        return F.struct(cur["published"].alias("published"), x["batch"].alias("at"), F.when(differs, x["shape"]).otherwise(cur["pending"]).alias("pending"), cur["out"].alias("out"))
 
-    return per.select("organism", F.inline(F.aggregate("s", start, step, lambda acc: flush(acc)["out"])))
+    def walk(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, published, pending = None, None, None
+        for b in parts:
+            out = []
+            for organism, batch, shape_ in zip(b["organism"], b["batch"], b["shape"], strict=True):
+                if (organism, batch) != group:
+                    if pending is not None:
+                        out.append((*group, pending))
+                    published = (pending or published) if group is not None and group[0] == organism else None
+                    group, pending = (organism, batch), None
+                if shape_ != published:
+                    pending = shape_
+            yield pd.DataFrame(out, columns=["organism", "batch", "shape"])
+        if pending is not None:
+            yield pd.DataFrame([(*group, pending)], columns=["organism", "batch", "shape"])
+
+    return last.filter("batch is not null").repartition("organism").sortWithinPartitions("organism", "batch", "ordinal").select("organism", "batch", "shape").mapInPandas(walk, "organism string, batch bigint, shape string")

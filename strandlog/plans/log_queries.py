@@ -21,7 +21,7 @@ from strandlog.functions import canonical, codec, scalars
 from strandlog.operators import audit, delta, digest, ingest, manifest, state
 from strandlog.schema import KEY, LINE_KEYS, accession_version, split_accession, split_version
 from strandlog.session import checkpoint_dir, materialize, read_table
-from strandlog.sources import container, feed
+from strandlog.sources import blobs, container, feed
 
 #: one reading of the clock for every query, in epoch seconds
 NOW = 1_768_000_000
@@ -47,15 +47,19 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def eligible(spark: SparkSession, sf: str) -> DataFrame:
-    """Keys the feeds serve openly: released lines by terms and age, and all lines of the other feed."""
-    open_ = released(spark, sf).filter(ingest.is_open(F.col("terms"))).filter(ingest.old_enough(F.col("submitted_at"), CUTOFF))
-    return open_.select(*KEY).unionByName(read_table(spark, sf, "andv_metadata").select(F.lit("andv").alias("organism"), "accession", "version").distinct())
+    """Keys the feeds serve openly and for long enough, by their last delivery; lines of the second feed state no terms."""
+    open_ = released(spark, sf).filter(ingest.is_open(F.col("terms")))
+    other = read_table(spark, sf, "andv_metadata").groupBy("accession", "version").agg(F.max_by("submittedattimestamp", F.struct("received_at", "row_id")).alias("submitted_at"))
+    every = open_.select(*KEY, "submitted_at").unionByName(other.select(F.lit("andv").alias("organism"), "accession", "version", "submitted_at"))
+    return every.filter(ingest.old_enough(F.col("submitted_at"), CUTOFF)).select(*KEY)
 
 
 def payload() -> Column:
-    """A line of text per entry: key and metadata sorted by field."""
-    fields = F.array_sort(F.transform(F.map_entries("metadata"), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("\\N")))))
-    return F.concat_ws("\t", "organism", "accession", F.col("version").cast("string"), F.array_join(fields, ","))
+    """A line of text per entry: its key and all six fields, each sorted by key."""
+    pairs = lambda c, value: F.array_join(F.array_sort(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(value(e["value"]), F.lit("\\N"))))), ",")
+    texts = [pairs(k.lower(), lambda v: v) for k in LINE_KEYS if not k.endswith("Insertions")]
+    lists = [pairs(k.lower(), lambda v: F.array_join(v, ";")) for k in LINE_KEYS if k.endswith("Insertions")]
+    return F.concat_ws("\t", "organism", "accession", F.col("version").cast("string"), *texts, *lists)
 
 
 # ---- selection of the feed
@@ -225,13 +229,13 @@ def artifact_digest(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def batch_digest(spark: SparkSession, sf: str) -> DataFrame:
-    rows = state.keep_first(entries(spark, sf))
-    return rows.groupBy("batch").agg(F.count(F.lit(1)).alias("n_lines"), digest.small_group_digest(payload(), F.col("organism"), F.col("accession"), F.col("version")).alias("sha256"))
+    lines = state.keep_first(entries(spark, sf)).select("batch", *KEY, payload().alias("line"))
+    return digest.group_digests(lines, "batch", KEY, "line")
 
 
 def hash_chain(spark: SparkSession, sf: str) -> DataFrame:
-    rows = entries(spark, sf)
-    return rows.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), digest.hash_chain(manifest.ZEROS, F.col("ordinal"), F.sha2(accession_version(), 256)).alias("head"))
+    links = entries(spark, sf).select("batch", "ordinal", F.sha2(accession_version(), 256).alias("link"))
+    return digest.chain_heads(links, "batch", ["ordinal", "link"], "link", manifest.ZEROS)
 
 
 def chain_contiguity(spark: SparkSession, sf: str) -> DataFrame:
@@ -239,6 +243,15 @@ def chain_contiguity(spark: SparkSession, sf: str) -> DataFrame:
     return e.agg(F.count(F.lit(1)).alias("n"), digest.contiguous(F.col("event_id")).alias("contiguous"))
 
 
+def point_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """The entry of one key, read with the key's filter in the scan."""
+    e = entries(spark, sf)
+    key = e.agg(F.min(F.struct(*KEY)).alias("k")).first().k
+    if key is None:
+        return e.select("batch", "ordinal", *KEY).limit(0)
+    return state.point_lookup(e, events(spark, sf), *key).select("batch", "ordinal", *KEY)
+
+
 def _withdrawals(spark: SparkSession, sf: str) -> DataFrame:
     return state.state_after_each_batch(events(spark, sf))
 
@@ -258,9 +271,11 @@ def manifest_compare(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _manifests(spark: SparkSession, sf: str) -> DataFrame:
-    size = F.sum(F.octet_length(payload()))
-    rows = entries(spark, sf).groupBy("batch").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(".", "organism", accession_version()))), ","), 256).alias("digest"), size.alias("raw_bytes"))
-    return rows.withColumn("n_blobs", F.ceil(F.col("raw_bytes") / 1000))
+    """batch, digest of its sorted keys, raw_bytes of its lines, n_blobs."""
+    e = entries(spark, sf)
+    keys = digest.group_digests(e.select("batch", F.concat_ws(".", "organism", accession_version()).alias("key")), "batch", ["key"], "key").select("batch", F.col("sha256").alias("digest"))
+    sizes = e.groupBy("batch").agg(F.sum(F.octet_length(payload())).alias("raw_bytes"))
+    return keys.join(sizes, "batch").withColumn("n_blobs", F.ceil(F.col("raw_bytes") / 1000))
 
 
 def manifest_chain(spark: SparkSession, sf: str) -> DataFrame:
@@ -403,6 +418,27 @@ def stream_totals(spark: SparkSession, sf: str) -> DataFrame:
     return audit.stream_totals(batches, counts, _dead(spark, sf))
 
 
+def _pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as pieces; the bytes of every seventh do not belong to the name they claim."""
+    p = read_table(spark, sf, "part")
+    text = F.concat_ws("|", F.col("p_partkey").cast("string"), "p_name")
+    spoilt = F.pmod("p_partkey", F.lit(7)) == 0
+    return p.select(F.col("p_partkey").alias("seq"), F.sha2(text, 256).alias("hash"), F.encode(F.when(spoilt, F.concat(text, F.lit("?"))).otherwise(text), "UTF-8").alias("data"))
+
+
+def blob_store(spark: SparkSession, sf: str) -> DataFrame:
+    """Pieces appended to a store twice, written out as files and read back: what, and how many pieces."""
+    path, pieces = _scratch(spark), _pieces(spark, sf)
+    store, out = f"file://{path}/store", os.path.join(path, "files")
+    counts = [("offered", pieces.count()), ("failing", blobs.failing(pieces).count()), ("stored", blobs.append_blobs(store, pieces)), ("stored again", blobs.append_blobs(store, pieces))]
+    stored = spark.read.parquet(store) if counts[2][1] else pieces.limit(0)
+    blobs.export_blobs(stored, out)
+    back = blobs.read_folder(spark, f"file://{out}") if counts[2][1] else pieces.select("hash", "data").limit(0)
+    highest = pieces.agg(F.max("seq")).first()[0] or 0
+    counts += [("missing", blobs.missing_numbers(stored, highest + 1).count()), ("files", back.count()), ("files verified", blobs.verified(back).count())]
+    return spark.createDataFrame(counts, "what string, n bigint")
+
+
 # ---- scalar functions
 
 
@@ -582,7 +618,7 @@ QUERIES = {
     for f in (
         eligible_new, sync_stats, already_published, withdraw_set, reinstate_set, change_lists, unserved_group, visible_after_changes, feed_scan, feed_shape, line_keys, feed_incomplete, feed_changed, feed_groups,
         published_projection, entry_validation, keep_first, duplicate_entries, tombstone_state, tombstone_as_of, tombstone_conflicts, withdrawn_after_batches, ineffective_events, visible_rows, visible_as_of,
-        visible_counts, version_status, published_map, withdrawn_map, canonical_order, set_union, set_intersect, set_except, artifact_digest, batch_digest, hash_chain, chain_contiguity, manifest_counts,
+        visible_counts, version_status, published_map, withdrawn_map, canonical_order, set_union, set_intersect, set_except, artifact_digest, batch_digest, hash_chain, chain_contiguity, manifest_counts, point_lookup, blob_store,
         manifest_compare, manifest_chain, manifest_breaks, index_placement, bytes_since_index, schema_drift, source_matrix, source_counters, source_judgement, source_verdict, first_verified, source_attempts,
         candidate_check, missing_report, dead_blobs, torn_tail, needed_missing, block_groups, hash_batches, in_retention, enriched_refs, lost_pins, stream_totals, human_size, human_duration, split_key,
         safe_dirname, public_url, slot, hashes, blob_counts, canonical_json, canonical_check, cid, blob_pack, container_roundtrip, streaming_append,

@@ -10,7 +10,8 @@ released as (
     select *, row_number() over (partition by accession, version order by received_at desc, row_id desc) as n from zika_metadata) where n = 1
 ), eligible as (
   select organism, accession, version from released where terms = 'OPEN' and submitted_at <= {CUTOFF}
-  union all select distinct 'andv', accession, version from andv_metadata
+  union all select 'andv', accession, version from (
+    select *, row_number() over (partition by accession, version order by received_at desc, row_id desc) as n from andv_metadata) where n = 1 and submittedattimestamp <= {CUTOFF}
 ), published as (select distinct organism, accession, version from entries)"""
 
 _EVENTS = """
@@ -27,8 +28,10 @@ states as (
 ), withdrawn as (select organism, accession, version from states where kind = 'WITHDRAW'),
 firsts as (select * from (select *, row_number() over (partition by organism, accession, version order by batch, ordinal) as n from entries) where n = 1)"""
 
-_PAYLOAD = """concat_ws(chr(9), organism, accession, version::varchar,
-  array_to_string(list_sort(list_transform(map_entries(metadata), lambda e: e.key || '=' || coalesce(e.value, '\\N'))), ','))"""
+_PAIRS = "array_to_string(list_sort(list_transform(map_entries({}), lambda e: e.key || '=' || coalesce({}, '\\N'))), ',')"
+_TEXTS = [_PAIRS.format(c, "e.value") for c in ("alignedaminoacidsequences", "alignednucleotidesequences", "metadata", "unalignednucleotidesequences")]
+_LISTS = [_PAIRS.format(c, "array_to_string(e.value, ';')") for c in ("aminoacidinsertions", "nucleotideinsertions")]
+_PAYLOAD = f"concat_ws(chr(9), organism, accession, version::varchar, {', '.join(_TEXTS + _LISTS)})"
 
 _AFTER = """
 steps as (
@@ -46,7 +49,7 @@ steps as (
 _MANIFESTS = f"""
 manifests as (
   select *, ceil(raw_bytes / 1000)::bigint as n_blobs from (
-    select batch, sha256(string_agg(organism || '.' || accession || '.' || version, ',' order by organism || '.' || accession || '.' || version)) as digest, sum(strlen({_PAYLOAD}))::bigint as raw_bytes
+    select batch, sha256(string_agg(organism || '.' || accession || '.' || version || chr(10), '' order by organism || '.' || accession || '.' || version)) as digest, sum(strlen({_PAYLOAD}))::bigint as raw_bytes
     from entries group by batch)
 ), linked as (
   select *, coalesce(lag(digest) over (order by batch), repeat('0', 64)) as previous_digest, (sum(n_blobs) over (order by batch))::bigint as blob_count_after from manifests
@@ -213,7 +216,25 @@ ORACLE = {
             union all select n.k, n.batch, n.size, n.size + case when w.since_index >= {INDEX_BYTES} then 0 else w.since_index end from walk w join numbered n on n.k = w.k + 1)
           select * from walk)""".lstrip(),
     ),
-    "schema_drift": None,
+    "schema_drift": """with recursive shapes as (
+        select organism, batch, ordinal, concat_ws('|', coalesce(array_to_string(list_sort(map_keys(metadata)), ','), ''), coalesce(array_to_string(list_sort(map_keys(unalignednucleotidesequences)), ','), ''), coalesce(array_to_string(list_sort(map_keys(alignedaminoacidsequences)), ','), '')) as shape from entries
+      ), lasts as (select organism, batch, shape, max(ordinal) as ordinal, dense_rank() over (partition by organism order by batch) as k from shapes group by organism, batch, shape
+      ), walk as (
+        select organism, 0::bigint as k, null::bigint as batch, null::varchar as published, null::varchar as emitted from (select distinct organism from lasts)
+        union all
+        select w.organism, n.k, n.batch, coalesce(n.shape, w.published), n.shape from walk w join lateral (
+          select w.k + 1 as k, (select max(batch) from lasts l where l.organism = w.organism and l.k = w.k + 1) as batch,
+            (select arg_max(l.shape, l.ordinal) from lasts l where l.organism = w.organism and l.k = w.k + 1 and l.shape is distinct from w.published) as shape) n on n.batch is not null
+      ) select organism, batch, emitted as shape from walk where emitted is not null""",
+    "point_lookup": _with(_EVENTS, "select batch, ordinal, organism, accession, version from firsts anti join withdrawn using (organism, accession, version) where (organism, accession, version) = (select (organism, accession, version) from entries order by organism, accession, version limit 1)"),
+    "blob_store": """with n as (select count(*) as offered, count(*) filter (where p_partkey % 7 = 0) as failing, max(p_partkey) + 1 as numbers from part)
+        select 'offered' as what, offered as n from n union all select 'failing', failing from n union all select 'stored', offered - failing from n union all select 'stored again', 0
+        union all select 'missing', numbers - (offered - failing) from n union all select 'files', offered - failing from n union all select 'files verified', offered - failing from n""",
+    "streaming_append": "select 1 as run, count(distinct event_id) as appended from events union all select 2, 0 union all select 3, 0",
+    "cid": """with bits as (
+        select doc_id, rpad('00000001010101010001001000100000' || array_to_string(list_transform(string_split(sha256(text), ''), lambda c: substr('0000000100100011010001010110011110001001101010111100110111101111', (instr('0123456789abcdef', c) - 1) * 4 + 1, 4)), ''), 290, '0') as b from documents where text is not null)
+        select doc_id, 'b' || array_to_string(list_transform(range(58), lambda i: substr('abcdefghijklmnopqrstuvwxyz234567', 1 + (16 * substr(b, i * 5 + 1, 1)::int + 8 * substr(b, i * 5 + 2, 1)::int + 4 * substr(b, i * 5 + 3, 1)::int + 2 * substr(b, i * 5 + 4, 1)::int + substr(b, i * 5 + 5, 1)::int), 1)), '') as cid from bits
+        union all select doc_id, null from documents where text is null""",
     "source_matrix": _with(_AUDIT, "select source, seq, outcome from matrix"),
     "source_counters": _with(
         _AUDIT,
