@@ -35,6 +35,8 @@ from strandlog.session import materialize
 
 #: banding: rows a band, the recall asked of a name with its worst typo, and the letters up to which names are blocked exactly
 ROWS, RECALL, CORE_LENGTH = 3, 0.9999, 8
+#: names of a part of a large entity when its pairs are joined
+PAIRS_OF = 2000
 #: rounds of star clustering in which weight decides; in what is left a hash does, which ends long chains soon
 RANKED_ROUNDS = 12
 #: letters of the shortest core in which an edit is taken for a typo
@@ -240,7 +242,14 @@ def entities(names: DataFrame) -> DataFrame:
 
 
 def linked_pairs(entity: DataFrame) -> DataFrame:
-    """name_id_a < name_id_b for every two names of one entity."""
-    a = entity.select("entity", "kind", F.col("name_id").alias("name_id_a"))
-    b = entity.select("entity", "kind", F.col("name_id").alias("name_id_b"))
-    return a.join(b, ["entity", "kind"]).filter("name_id_a < name_id_b").select("name_id_a", "name_id_b")
+    """name_id_a < name_id_b for every two names of one entity.
+
+    An entity of more than ``PAIRS_OF`` names is joined in as many parts as it has so many names, each part with all of it,
+    so that one with a third of all rows spreads over tasks.
+    """
+    rows = materialize(entity.select("entity", "kind", "name_id"))
+    large = rows.groupBy("entity", "kind").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > PAIRS_OF).select("entity", "kind", F.ceil(F.col("n") / PAIRS_OF).cast("int").alias("parts"))
+    parted = rows.join(large, ["entity", "kind"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    a = parted.select("entity", "kind", F.pmod(F.xxhash64("name_id"), F.col("parts")).cast("int").alias("part"), F.col("name_id").alias("name_id_a"))
+    b = parted.select("entity", "kind", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("name_id").alias("name_id_b"))
+    return a.join(b, ["entity", "kind", "part"]).filter("name_id_a < name_id_b").select("name_id_a", "name_id_b")

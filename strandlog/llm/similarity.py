@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from functools import lru_cache
 
 import numpy as np
 
@@ -41,20 +42,20 @@ def within_one_edit(a: str, b: str) -> bool:
     return a[k + 1 :] == b[k + 1 :] or (a[k + 1 : k + 2] == b[k : k + 1] and b[k + 1 : k + 2] == a[k : k + 1] and a[k + 2 :] == b[k + 2 :])
 
 
+@lru_cache(maxsize=1 << 16)
 def token_similarity(a: str, b: str) -> float:
     """1 less the edit distance over the greater length; an initial equals every word it begins."""
     if a == b or (min(len(a), len(b)) == 1 and a[:1] == b[:1]):
         return 1.0
-    return 1.0 - edit_distance(a, b) / max(len(a), len(b))
+    return 1.0 - (1 if within_one_edit(a, b) else edit_distance(a, b)) / max(len(a), len(b))
 
 
 def monge_elkan(a: list[str], b: list[str]) -> float:
     """The lower of both directions of the mean best likeness of each word of one name in the other."""
     if not a or not b:
         return float(a == b)
-    one = sum(max(token_similarity(x, y) for y in b) for x in a) / len(a)
-    other = sum(max(token_similarity(x, y) for x in a) for y in b) / len(b)
-    return min(one, other)
+    best = lambda x, others: 1.0 if x in others else max(token_similarity(x, y) for y in others)
+    return min(sum(best(x, b) for x in a) / len(a), sum(best(y, a) for y in b) / len(b))
 
 
 def qgrams(text: str, q: int = 3) -> set[str]:

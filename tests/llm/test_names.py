@@ -139,6 +139,13 @@ def test_typos_that_make_or_break_a_transliteration(spark):
     assert got == {(2 * i, 2 * i + 1) for i in range(len(pairs))}
 
 
+def test_large_entities_are_joined_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(names, "PAIRS_OF", 10)
+    rows = [(i, "author", "big") for i in range(95)] + [(100 + i, "author", "small") for i in range(3)] + [(200, "affiliation", "big")]
+    got = sorted(map(tuple, names.linked_pairs(spark.createDataFrame(rows, "name_id long, kind string, entity string")).collect()))
+    assert got == sorted([*itertools.combinations(range(95), 2), *itertools.combinations(range(100, 103), 2)])
+
+
 def test_typos_of_short_surnames(spark):
     rows = [(1, "author", "Santos, M."), (2, "author", "Snatos, M."), (3, "author", "Lee, K."), (4, "author", "Leee, K."), (5, "author", "van Berg, T."), (6, "author", "vna Berg, T."), (7, "author", "Santos, R."), (8, "author", "Soares, M.")]
     got = set(map(tuple, names.linked_pairs(names.entities(spark.createDataFrame(rows, "name_id long, kind string, name string"))).collect()))
