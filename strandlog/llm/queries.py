@@ -31,6 +31,17 @@ def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return used.withColumn("unused", F.lit(packing.CAPACITY) - F.col("n_tokens"))
 
 
+def p6_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What packing must keep: texts packed, containers too full, texts split though they fit one, and texts of which a token is missing or twice."""
+    parts = materialize(packing.pack(read_table(spark, sf_dir, "documents")))
+    ends = F.col("first_token") + F.col("n_tokens")
+    texts = parts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("n"), F.max(ends).alias("end"), F.count_distinct("first_token").alias("starts"), F.max("piece").alias("last"))
+    whole = (F.col("n") == F.col("end")) & (F.col("starts") == F.col("pieces")) & (F.col("last") == F.col("pieces") - 1)
+    by_text = texts.agg(F.count(F.lit(1)).alias("texts"), F.count_if((F.col("end") <= packing.CAPACITY) & (F.col("pieces") > 1)).alias("split"), F.count_if(~whole).alias("incomplete"))
+    full = parts.groupBy("container").agg(F.sum("n_tokens").alias("n")).agg(F.count_if(F.col("n") > packing.CAPACITY).alias("overfull"))
+    return by_text.select("texts", full.scalar().alias("overfull"), "split", "incomplete")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
 
@@ -49,5 +60,6 @@ def p8_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.groupBy("host").agg(F.count(F.lit(1)).alias("n_pages"), F.first("host_rate").alias("spam_rate"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_entities, p6_packed, p6_containers, p7_found, p7_spans, p8_found, p8_hosts)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p3_found, p3_entities, p6_packed, p6_containers, p6_coverage, p7_found, p7_spans, p8_found, p8_hosts)}
+#: ids of texts are unique in the tables
+ORACLE: dict[str, str] = {"p6_coverage": "select count(distinct doc_id) as texts, 0::bigint as overfull, 0::bigint as split, 0::bigint as incomplete from documents where text <> ''"}

@@ -55,7 +55,7 @@ FUNCTION_WORDS = frozenset(
 )
 _URL = re.compile(r"(?:https?://|www\.)[^\s<>\"')\]]+")
 _LINK = re.compile(r"\]\(|<a\s+href|https?://|www\.", re.IGNORECASE)
-_TAG = re.compile(r"<[^<>]{1,200}>")
+_TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 _ANCHOR = re.compile(r"\]\(#[^()\s]*\)")
 _WORD = re.compile(r"[^\W\d_]+")
 _HASHTAG = re.compile(r"#[^\W_]\w+")
