@@ -77,7 +77,11 @@ def classify(df: DataFrame, rules: list[ColumnRule], keep: list[str]) -> DataFra
     if accepted is None:
         long = long.withColumn("__listed", F.lit(None).cast("boolean"))
     else:
-        long = long.join(accepted.withColumn("__listed", F.lit(True)), ["column_name", "value"], "left")
+        # nulls and values of other columns match nothing: their keys are spread, as equal ones would fill one partition of a shuffled join
+        matters = F.col("column_name").isin(*(r.name for r in listed)) & F.col("value").isNotNull()
+        spread = F.concat(F.lit("\x00"), F.pmod(F.xxhash64(*keep), F.lit(4096)).cast("string"))
+        marked = accepted.select("column_name", F.col("value").alias("__key"), F.lit(True).alias("__listed"))
+        long = long.withColumn("__key", F.when(matters, F.col("value")).otherwise(spread)).join(marked, ["column_name", "__key"], "left").drop("__key")
     num = F.col("value").try_cast("double")
     verdict = F.when(F.col("value").isNull(), "null").when(is_placeholder(F.col("value")), "placeholder")
     for r in rules:
