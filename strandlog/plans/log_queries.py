@@ -12,6 +12,7 @@ import hashlib
 import os
 import shutil
 import uuid
+from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -532,7 +533,7 @@ def _scratch(spark: SparkSession) -> str:
 
 
 def container_records(e: DataFrame, ev: DataFrame) -> DataFrame:
-    """batch, kind, organism, accession, version, payload: a record per entry with all six fields, and per batch, organism, kind and note of events."""
+    """batch, kind, organism, accession, version, payload: a record per entry with all six fields, per batch, organism, kind and note of events, and per shape that is new; the first batch carries a tooling file."""
     pairs = F.coalesce("metadata", F.create_map().cast("map<string,string>"))
     own = F.create_map(F.lit("accession"), F.col("accession"), F.lit("version"), F.col("version").cast("string"))
     fields = [F.col(k.lower()).alias(k) for k in LINE_KEYS if k != "metadata"]
@@ -542,7 +543,12 @@ def container_records(e: DataFrame, ev: DataFrame) -> DataFrame:
     lists = ev.groupBy("batch", "organism", "kind", "note").agg(F.array_sort(F.collect_set(accession_version())).alias("accessionVersions"))
     gone = F.to_json(F.struct("organism", "accessionVersions", "note"), {"ignoreNullFields": "false"})
     tombs = lists.select("batch", "kind", "organism", F.lit(None).cast("string").alias("accession"), F.lit(None).cast("bigint").alias("version"), gone.alias("text"))
-    return rows.unionByName(tombs).withColumn("payload", F.encode(canonical.canonical_json_udf()("text"), "UTF-8")).drop("text")
+    shape = manifest.entry_shape("metadata", "unalignednucleotidesequences", "alignedaminoacidsequences")
+    described = F.to_json(F.struct("organism", "shape"))
+    schemas = manifest.schema_drift(e, shape).select("batch", F.lit("SCHEMA").alias("kind"), "organism", F.lit(None).cast("string").alias("accession"), F.lit(None).cast("bigint").alias("version"), described.alias("text"))
+    texts = rows.unionByName(tombs).unionByName(schemas).withColumn("payload", F.encode(canonical.canonical_json_udf()("text"), "UTF-8")).drop("text")
+    tool = e.sparkSession.createDataFrame([(0, "TOOLING", None, "README.md", None, b"Decode the batches in order.\n")], texts.select("batch", "kind", "organism", "accession", "version", "payload").schema)
+    return texts.unionByName(tool)
 
 
 def _index(e: DataFrame, ev: DataFrame, batch: int) -> dict:
@@ -567,6 +573,8 @@ def container_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 
     Batches are numbered without gaps. Manifests state the counts of their batch; an index stands in the last
     batch and wherever the bytes since the one before could call for it. Kinds MANIFEST and INDEX compare these.
+    Then the last batch is torn and written again behind the torn blob: TORN compares the number of torn ranges, RESUMED that
+    of batches found.
     """
     e, ev = state.keep_first(entries(spark, sf)), events(spark, sf)
     numbers = sorted(r.batch for r in e.select("batch").union(ev.select("batch")).distinct().filter("batch is not null").collect())
@@ -585,6 +593,7 @@ def container_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     for batch in range(len(numbers)):
         due = batch == len(numbers) - 1 or at.bytes_since_index + sizes[batch] >= manifest.INDEX_THRESHOLD
         index = _index(e, ev, batch) if due else None
+        before = at
         said, at = container.write_batch(records.filter(F.col("batch") == batch).drop("batch"), counts[batch], at, path, index=index)
         stated.append(said)
         indexes += [index] if due else []
@@ -597,7 +606,20 @@ def container_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
         rows.append((kind, None, *(v for x, t in zip((written, read), texts, strict=True) for v in (len(x), len(t), hashlib.sha256(t).hexdigest()))))
     one, other = _payload_digests(records, "written"), _payload_digests(back.records, "read")
     both = one.withColumnRenamed("kind", "k").withColumnRenamed("organism", "o").join(other, F.col("k").eqNullSafe(F.col("kind")) & F.col("o").eqNullSafe(F.col("organism")), "full_outer")
-    compared = both.select(F.coalesce("kind", "k").alias("kind"), F.coalesce("organism", "o").alias("organism"), *(c.split()[0] for c in out.split(", ")[2:]))
+    compared = materialize(both.select(F.coalesce("kind", "k").alias("kind"), F.coalesce("organism", "o").alias("organism"), *(c.split()[0] for c in out.split(", ")[2:])))
+    if len(numbers) == 1:  # blob 0 holds the header: without it nothing can be read, so a single batch is not torn
+        return compared.unionByName(spark.createDataFrame(rows, out))
+    # the upload of the last batch breaks off: what is left of it is no batch, and it is written once more
+    for k in range(before.next_blob, at.next_blob):
+        os.remove(os.path.join(path, f"{k:08d}.blob"))
+    with open(os.path.join(path, f"{before.next_blob:08d}.blob"), "wb") as f:
+        f.write(codec.pack_blobs(b"\x00")[0])
+    cut = container.walk(*container.folder_fetch(path))
+    again = replace(before, next_blob=before.next_blob + 1)
+    container.write_batch(records.filter(F.col("batch") == len(numbers) - 1).drop("batch"), counts[len(numbers) - 1], again, path, index=indexes[-1])
+    whole = container.walk(*container.folder_fetch(path))
+    sound = cut.torn_tail is not None and whole.dead <= {before.next_blob} and whole.torn_tail is None
+    rows += [("TORN", None, 1, 0, "", len(whole.torn) if sound else -1, 0, ""), ("RESUMED", None, len(numbers), 0, "", len(whole.batches), 0, "")]
     return compared.unionByName(spark.createDataFrame(rows, out))
 
 
