@@ -37,8 +37,6 @@ CAPACITY = 2048
 SHARD_TEXTS = 4000
 #: token ids below this are frequent pieces of words, as ranks follow frequency; sketches leave them out
 COMMON_TOKENS = 4000
-#: texts of a partition of the sort
-SORT_TEXTS = 20_000
 #: folder of the tokenizers' files, and the file of byte-pair ranks
 TOKENIZERS = os.environ.get("STRANDLOG_TOKENIZERS", "/opt/tokenizers")
 RANKS_FILE = "byte_bpe_50k.tiktoken"
@@ -96,9 +94,13 @@ def _measure(path: str, capacity: int):
     return run
 
 
-def ranked(rows: DataFrame, keys: list[str], total: int) -> DataFrame:
+def _parts(shards: int) -> int:
+    """Partitions for shards: one each, of very many some together."""
+    return min(shards, 400 + shards // 8)
+
+
+def ranked(rows: DataFrame, keys: list[str], parts: int) -> DataFrame:
     """Rows with row, their rank by keys from 0. Equal rows are interchangeable, so the ranks do not depend on how rows are partitioned."""
-    parts = max(1, math.ceil(total / SORT_TEXTS))
     placed = materialize(rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("__at", F.monotonically_increasing_id()))
     part = F.shiftright("__at", 33)
     sizes = placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("n"))
@@ -237,7 +239,7 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, tokenizers: str = TOKEN
         raise ValueError("a container holds at most 32,768 tokens, as counts of a term are kept in 16 bits")
     path = os.path.join(tokenizers, RANKS_FILE)
     measured = materialize(documents.select("doc_id", "text").mapInPandas(_measure(path, capacity), _MEASURED))
-    rows = ranked(measured, ["k1", "k2", "k3", "tie", "doc_id"], measured.count()).drop("k1", "k2", "k3", "tie")
+    rows = ranked(measured, ["k1", "k2", "k3", "tie", "doc_id"], _parts(max(1, math.ceil(measured.count() / shard_texts)))).drop("k1", "k2", "k3", "tie")
     rest = rows.filter(F.col("n_tokens") % capacity > 0)
     packable = measured.filter(F.col("n_tokens") % capacity > 0)
     total = packable.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("n_tokens") % capacity).alias("mean")).first()
@@ -248,9 +250,7 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, tokenizers: str = TOKEN
     seen[df["t"].to_numpy(dtype=np.int64)] = df["df"].to_numpy()
     idf = np.log(1.0 + (total.n - seen + 0.5) / (seen + 0.5))
     shards = max(1, math.ceil(total.n / shard_texts))
-    # the number of partitions follows the number of shards, so a task holds a few of them at any size
-    parts = min(shards, 400 + shards // 8)
-    packed = rest.withColumn("shard", F.floor(F.col("row") / shard_texts)).repartition(parts, "shard").groupBy("shard").applyInPandas(_pack(idf, float(total.mean or 1.0), capacity), _PACKED)
+    packed = rest.withColumn("shard", F.floor(F.col("row") / shard_texts)).repartition(_parts(shards), "shard").groupBy("shard").applyInPandas(_pack(idf, float(total.mean or 1.0), capacity), _PACKED)
     packed = materialize(packed)
     groups = max(1, math.ceil(packed.filter("poor").count() / shard_texts))
     refilled = packed.filter("poor").withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(groups))).groupBy("shard").applyInPandas(_fill(capacity), _PACKED)
