@@ -8,7 +8,6 @@ and the state can be read as of any change.
 
 from __future__ import annotations
 
-import hashlib
 import json
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import asdict, dataclass, replace
@@ -17,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from strandlog.functions.keccak import keccak256
 from strandlog.sources.files import Folder
 
 ELEMENTS = 4096
@@ -40,10 +40,10 @@ class State:
 Change = Callable[[State], tuple[State, list[dict]]]
 
 
-def extend(head: str, hashes: Iterable[str], link: Callable[[str], str] = lambda s: hashlib.sha256(s.encode()).hexdigest()) -> str:
-    """The head after the pieces' hashes are chained on; the hash function can be replaced by a network's own."""
+def extend(head: str, hashes: Iterable[str], link: Callable[[bytes], bytes] = keccak256) -> str:
+    """The head (hex) after the pieces' hashes (hex) are chained on: the hash of head and piece hash, bytes after bytes."""
     for h in hashes:
-        head = link(head + h)
+        head = link(bytes.fromhex(head) + bytes.fromhex(h)).hex()
     return head
 
 

@@ -1,5 +1,6 @@
 """Bytes: integers, canonical JSON, records, blobs, and the container written and read with Spark."""
 
+import hashlib
 import json
 import os
 
@@ -223,3 +224,13 @@ def test_registered_round_trip_is_whole(spark, tmp_path):
     assert {json.loads(r.payload)["note"] for r in made if r.kind in ("WITHDRAW", "REINSTATE")} == {"gone", None}
     altered = [log_queries._payload_digests(spark.createDataFrame([(0, "ENTRY", "zika", t)], "batch long, kind string, organism string, payload binary"), "read").first().sha256_read for t in (b"ab", b"ba")]
     assert altered[0] != altered[1]
+
+
+def test_keccak():
+    from strandlog.functions.keccak import keccak256
+
+    assert keccak256(b"").hex() == "c5d2460186f7233c927e7db2dcc703c0e500b653ca82273b7bfad8045d85a470"
+    assert keccak256(b"abc").hex() == "4e03657aea45a94fc7d47ba826c8d667c0d1e6e33a64a036ec44f58fa12d6c45"
+    for n in (0, 1, 135, 136, 137, 500):
+        data = bytes(k % 251 for k in range(n))
+        assert keccak256(data, 0x06) == hashlib.sha3_256(data).digest()
