@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable, Mapping
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandlog.sources.files import Folder
+from strandlog.sources.responses import Failed, Response
+
 
 def groups(files: DataFrame, group: str = "organism") -> list[str]:
     """The sorted names of the groups a feed serves; none, or a blank one, is an error."""
@@ -14,6 +20,32 @@ def groups(files: DataFrame, group: str = "organism") -> list[str]:
     return names
 
 
+def land(get: Callable[[str, Mapping[str, str]], Response], url: str, folder: Folder, name: str) -> tuple[bool, int | None]:
+    """Land a feed's file unless the server says that it is the one landed before: (whether it is new, its declared number of lines).
+
+    ``get`` takes a URL and headers. The entity tag and the declared total stand in ``<name>.json`` beside the file, which is written
+    last: a file without it is fetched again. Any answer but 200 and 304 leaves everything as it was and raises.
+    """
+    names = folder.names()
+    known = json.loads(folder.read(f"{name}.json")) if name in names and f"{name}.json" in names else {}
+    answer = get(url, {"If-None-Match": known["etag"]} if known.get("etag") else {})
+    if answer.status == 304 and known:
+        return False, known["total"]
+    if answer.status != 200:
+        raise Failed(f"HTTP {answer.status} for {url}")
+    headers = {k.lower(): v for k, v in answer.headers.items()}
+    total = headers.get("x-total-records", "")
+    folder.remove(f"{name}.json")
+    folder.put(name, answer.body)
+    folder.put(f"{name}.json", json.dumps({"etag": headers.get("etag"), "total": int(total) if total.isdigit() else None}).encode())
+    return True, int(total) if total.isdigit() else None
+
+
+def forget(folder: Folder, name: str) -> None:
+    """Have a file fetched again, as when its lines are not as many as declared."""
+    folder.remove(f"{name}.json")
+
+
 def changed_files(files: DataFrame, feed: tuple[str, ...] = ("mirror", "organism")) -> DataFrame:
     """Files to read again: their entity tag differs from that of the file before, or either is unknown.
 

@@ -5,6 +5,7 @@ import json
 import os
 
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from strandlog import config
@@ -58,6 +59,27 @@ def test_feed_sources(spark, tmp_path):
     assert feed.tooling(spark, str(tmp_path), "*.json").count() == 1 and feed.log_pages(0, 10, 4) == [(0, 3), (4, 7), (8, 10)]
 
 
+def test_landing_what_changed(spark, tmp_path):
+    """A file is fetched once per entity tag; a failed answer or a half-landed file changes nothing for good."""
+    from strandlog.sources.responses import Failed, Response
+
+    asked, folder = [], Folder(spark, str(tmp_path / "landed")).make()
+    lines = zstandard.ZstdCompressor().compress(b'{"a":1}\n\n{"a":2}')
+
+    def get(url, headers):
+        asked.append(dict(headers))
+        return Response(304) if headers.get("If-None-Match") == "e1" else Response(200, lines, {"ETag": "e1", "X-Total-Records": "2"})
+
+    assert feed.land(get, "u", folder, "zika.ndjson.zst") == (True, 2) and feed.land(get, "u", folder, "zika.ndjson.zst") == (False, 2)
+    df = feed.read_lines(spark, folder.at("zika.ndjson.zst"))
+    assert feed.check_complete(df, 2) == 2 and sorted(r.value for r in df.collect()) == ['{"a":1}', '{"a":2}']
+    with pytest.raises(Failed):
+        feed.land(lambda u, h: Response(500), "u", folder, "zika.ndjson.zst")
+    assert folder.read("zika.ndjson.zst") == lines
+    feed.forget(folder, "zika.ndjson.zst")
+    assert feed.land(get, "u", folder, "zika.ndjson.zst") == (True, 2) and asked == [{}, {"If-None-Match": "e1"}, {}]
+
+
 def test_blob_sources(spark, tmp_path):
     pieces = [bytes([k]) * 50 for k in range(4)]
     names = [blobs.sha256_name(p) for p in pieces]
