@@ -306,25 +306,25 @@ _EVIDENCE = ["file_no", "field", "types", "gone", "new", "same", "compared"]
 
 
 def _changes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Schema and agreement rows, those of a feed one after the other, to the changes of each feed."""
+    """Schema and agreement rows, those of a feed one after the other, to the changes of each feed; a feed may go on in the next batch."""
     columns = [*FEED, "file_no", "field", "change", "new_field", "origin"]
+    feed: tuple | None = None
+    held: list[pd.DataFrame] = []
 
-    def out(rest: pd.DataFrame) -> pd.DataFrame:
-        rows = [(*feed, *r) for feed, mine in rest.groupby(FEED, sort=False) for r in _feed_changes(mine)]
-        return pd.DataFrame(rows, columns=columns)
+    def finished() -> list[tuple]:
+        return [(*feed, *r) for r in _feed_changes(pd.concat(held, ignore_index=True))] if held else []
 
-    rest: pd.DataFrame | None = None
     for b in batches:
-        if not len(b):
-            continue
-        rest = b if rest is None else pd.concat([rest, b], ignore_index=True)
-        rest[["field", "gone", "new"]] = rest[["field", "gone", "new"]].astype(object).where(rest[["field", "gone", "new"]].notna(), None)
-        begun = (rest[FEED] == rest[FEED].iloc[-1]).all(axis=1)  # the last feed may go on in the next batch
-        if not begun.all():
-            yield out(rest[~begun])
-            rest = rest[begun]
-    if rest is not None:
-        yield out(rest)
+        names = ["field", "gone", "new"]
+        b[names] = b[names].astype(object).where(b[names].notna(), None)
+        rows: list[tuple] = []
+        for key, mine in b.groupby(FEED, sort=False):
+            if key != feed:
+                rows += finished()
+                feed, held = key, []
+            held.append(mine)
+        yield pd.DataFrame(rows, columns=columns)
+    yield pd.DataFrame(finished(), columns=columns)
 
 
 def _evolution(lines: DataFrame) -> DataFrame:
